@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import licences, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_mix_sources": mixing.op10_mix_sources}
+    return {"op8_licences": licences.op8_licences, "op10_mix_sources": mixing.op10_mix_sources}
 
 
 def oracle_sql() -> dict[str, str]:
