@@ -9,7 +9,7 @@ nearest is used.
 
 Ranks are never counted in one task for a whole source: documents of one source and size are spread over 256 cells by a
 seeded hash, ranks are counted in each cell, and the number of documents in the cells before it is added.  These counts
-number (sizes x 256) a source at most, whatever the number of documents.
+number (sizes x 256) a source at most, whatever the number of documents; only one row a size is ordered in one task.
 
 Defined results: null text or text without a word has size 0 and is taken 0 times; the null source is a source of its
 own, last in the order; repeated rows count one by one; an empty table gives an empty result; columns of any other name
@@ -79,9 +79,11 @@ def _planned(docs: DataFrame, text: str, source: str, doc_id: str, cap: float, s
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("times", times).withColumn("whole", F.floor("times")).withColumn("part", F.col("times") - F.col("whole"))
 
-    in_order = Window.partitionBy("key").orderBy(F.col("size").desc(), "cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0)))
-    sizes = cells.groupBy("key", "size").agg(F.min("before").alias("before"), F.sum("n").alias("n"))
+    larger = Window.partitionBy("key").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("key", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cells.groupBy("key", "size").agg(F.sum("n").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(larger), F.lit(0)))
+    cells = cells.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    cells = cells.join(sizes.drop("n"), ["key", "size"]).withColumn("before", F.col("before") + F.col("earlier")).drop("earlier")
     tries = (
         sizes.join(plan.select("key", "part", "source_size"), "key")
         .withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
