@@ -61,15 +61,16 @@ class DirectCodes:
 
     @classmethod
     def encode(cls, ids: np.ndarray) -> bytes:
-        rest = np.asarray(ids, dtype=np.uint64)
+        rest = np.asarray(ids)
+        rest = rest.astype(np.uint32 if not len(rest) or rest.max() < 1 << 32 else np.uint64, copy=False)
         counts, parts = [], []
         while len(rest):
             more = rest >> BITS
             goes_on = more > 0
             bitmap = np.packbits(goes_on, bitorder="little")
-            block = np.add.reduceat(goes_on.astype(np.uint64), np.arange(0, len(rest), RANK_BITS))
+            block = np.add.reduceat(_POPULATION[bitmap], np.arange(0, len(bitmap), RANK_BITS // 8), dtype=np.int64)
             ranks = np.concatenate([[0], np.cumsum(block)[:-1]]).astype("<u8")
-            parts += [(rest & np.uint64((1 << BITS) - 1)).astype(np.uint8).tobytes(), bitmap.tobytes(), ranks.tobytes()]
+            parts += [rest.astype(np.uint8).tobytes(), bitmap.tobytes(), ranks.tobytes()]  # the lowest chunk of BITS = 8
             counts.append(len(rest))
             rest = more[goes_on]
         head = np.array([len(ids), len(counts), *counts], dtype="<u8")
@@ -96,11 +97,12 @@ class DirectCodes:
 
     def all(self) -> np.ndarray:
         """Every id, level by level."""
-        deeper = np.empty(0, np.uint64)
+        kind = np.uint32 if len(self.levels) <= 4 else np.uint64
+        deeper = np.empty(0, kind)
         for chunks, bitmap, _ in reversed(self.levels):
-            out = chunks.astype(np.uint64)
-            goes_on = np.flatnonzero(np.unpackbits(bitmap, count=len(chunks), bitorder="little"))
-            out[goes_on] |= deeper << np.uint64(BITS)
+            out = chunks.astype(kind)
+            if len(deeper):
+                out[np.unpackbits(bitmap, count=len(chunks), bitorder="little").view(bool)] |= deeper << kind(BITS)
             deeper = out
         return deeper
 
@@ -158,7 +160,7 @@ def _starts_of_shards(segments: DataFrame) -> DataFrame:
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples(index=False):
-            data = DirectCodes(row.codes).all().astype("<u4").tobytes()
+            data = DirectCodes(row.codes).all().astype("<u4", copy=False).tobytes()
             bounds = [*(int(x) for x in row.doc_starts), len(data) // 4]
             yield pd.DataFrame(
                 {

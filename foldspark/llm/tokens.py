@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Chunks that one worker remembers.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 700_000
 #: Longer chunks are not remembered.
 CACHE_CHARS = 64
 
@@ -33,6 +33,7 @@ def _visible_bytes() -> dict[int, int]:
 
 
 _VISIBLE = _visible_bytes()
+_BLANK = chr(_VISIBLE[32])
 
 
 def vocabulary_path(name: str, folder: str | None = None) -> str:
@@ -91,7 +92,8 @@ class Encoder:
         key = space + word
         ids = self._known.get(key)
         if ids is None:
-            ids = self._word((key if self._keeps_spaces else word.lower()).encode().decode("latin-1").translate(_VISIBLE))
+            key = key if self._keeps_spaces else word.lower()
+            ids = self._word(key.replace(" ", _BLANK) if key.isascii() else key.encode().decode("latin-1").translate(_VISIBLE))
         return ids + self._known[mark] if mark else ids
 
     def _look_up(self, chunks: list[str]) -> bytes:
