@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +15,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it, whatever folder they were started in."""
+    root, own = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = own.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        own["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; in a local session without it, a temporary one."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
