@@ -5,7 +5,8 @@ hashes, which are its tokens: two records share a token at a coordinate with the
 
 A run sends each record along the tree of chosen paths.  The first step splits all records by their token at the run's
 coordinate.  A node with more than ``SMALL`` records is split again at two coordinates drawn by its own hash, up to
-``DEPTH`` times; its records go both ways, so that similar ones are unlikely to be parted.  Smaller nodes are leaves.
+``DEPTH`` times; its records go both ways, so that similar ones are unlikely to be parted.  Smaller nodes are leaves, and so
+are nodes that a coordinate leaves mostly whole (``WHOLE``): their records are alike, and splitting only repeats them.
 As many runs are made as the target recall asks for at the threshold (``runs_for``).
 
 Every pair is compared in one leaf only: the least one that both records have reached.  Leaves are compared in blocks of
@@ -40,8 +41,11 @@ from .shingles import mixed, shingle_set
 THRESHOLD = 0.8
 RECALL = 0.999
 SKETCH = 64
-SMALL = 256
+SMALL = 512
 DEPTH = 3
+WHOLE = 0.5
+#: Rows of leaves that one call compares.
+TOGETHER = 4_000
 
 _A = mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mixed(np.arange(1001, SKETCH + 1001, dtype=np.uint64))
@@ -79,66 +83,98 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _leaves(records: DataFrame, runs: int) -> DataFrame:
     """(key, leaf, size): leaves of two records and more."""
     sketches = records.select("key", "sketch")
-    rows = sketches.select("key", "sketch", F.explode(F.array(*[F.xxhash64(F.lit(r), F.element_at("sketch", r + 1)) for r in range(runs)])).alias("node"))
-    found = None
-    for depth in range(DEPTH + 1):
-        # Counts first: most nodes hold one record, and go no further.
-        pairs = written(rows.select("key", "node"), "paths")
-        sizes = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        nodes = written(pairs.join(sizes, "node"), "nodes")
-        done = nodes if depth == DEPTH else nodes.filter(F.col("size") <= SMALL)
-        done = done.select("key", F.col("node").alias("leaf"), "size")
-        found = done if found is None else found.unionAll(done)
-        if depth == DEPTH:
-            break
+    roots = F.explode(F.array(*[F.xxhash64(F.lit(r), F.element_at("sketch", r + 1)) for r in range(runs)]))
+    rows = written(sketches.select("key", roots.alias("node")), "paths")
+    # Counts first: most nodes hold one record, and go no further.
+    nodes = written(rows.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "node"), "nodes")
+    found = nodes.filter(F.col("size") <= SMALL)
+    for depth in range(DEPTH):
         large = nodes.filter(F.col("size") > SMALL)
         if large.isEmpty():
-            break
+            return found.select("key", F.col("node").alias("leaf"), "size")
         ways = [F.pmod(F.xxhash64("node", F.lit(depth), F.lit(way)), F.lit(SKETCH)).cast("int") for way in (0, 1)]
-        children = [F.xxhash64("node", w, F.element_at("sketch", w + 1)) for w in ways]
-        rows = large.join(sketches, "key").select("key", "sketch", F.explode(F.array_distinct(F.array(*children))).alias("node"))
-    return found
+        children = F.explode(F.array_distinct(F.array(*[F.xxhash64("node", w, F.element_at("sketch", w + 1)) for w in ways])))
+        split = large.join(sketches, "key").select("key", F.col("node").alias("parent"), F.col("size").alias("whole"), children.alias("node"))
+        split = written(split, "paths")
+        sizes = split.groupBy("parent", "whole", "node").agg(F.count(F.lit(1)).alias("size"))
+        alike = sizes.groupBy("parent").agg(F.max(F.col("size") / F.col("whole")).alias("most")).filter(F.col("most") >= WHOLE).select(F.col("parent").alias("node"))
+        found = found.unionByName(large.join(alike, "node", "left_semi"))
+        going = sizes.filter("size > 1").join(alike.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "size")
+        nodes = written(split.select("key", "node").join(going, "node"), "nodes")
+        found = found.unionByName(nodes if depth == DEPTH - 1 else nodes.filter(F.col("size") <= SMALL))
+    return found.select("key", F.col("node").alias("leaf"), "size")
 
 
 def _blocks(leaves: DataFrame) -> DataFrame:
-    """(key, leaf, left, right, side): blocks of a leaf meet in pairs; side is 0, 1, or 2 for a block that meets itself."""
+    """(key, leaf, left, right, side, bin): blocks of a leaf meet in pairs; side is 0, 1, or 2 for a block that meets
+    itself.  Small leaves share a bin, each pair of blocks of a large one has its own."""
+    bins = max(1, leaves.count() // TOGETHER)
     rows = leaves.withColumn("blocks", F.ceil(F.col("size") / SMALL).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("key", "leaf", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    rows = rows.select("key", "leaf", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), side.alias("side"), "blocks")
+    small = F.pmod(F.xxhash64("leaf"), F.lit(bins))
+    return rows.withColumn("bin", F.when(F.col("blocks") == 1, small).otherwise(F.lit(bins) + F.pmod(F.xxhash64("leaf", "left", "right"), F.lit(1 << 60)))).drop("blocks")
+
+
+def _groups(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """(leaf, row numbers) of each pair of blocks in a bin."""
+    order = np.lexsort((rows["right"].to_numpy(), rows["left"].to_numpy(), rows["leaf"].to_numpy()))
+    keys = rows[["leaf", "left", "right"]].to_numpy()[order]
+    cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+    for part in np.split(order, cuts):
+        yield int(rows["leaf"].iat[part[0]]), part
+
+
+def _agreement(sketches: np.ndarray) -> np.ndarray:
+    """In how many coordinates each two sketches agree."""
+    if len(sketches) <= 32:
+        return (sketches[:, None, :] == sketches[None, :, :]).sum(2)
+    agree = np.zeros((len(sketches), len(sketches)), np.int16)
+    for c in range(sketches.shape[1]):
+        agree += sketches[:, c][:, None] == sketches[:, c][None, :]
+    return agree
 
 
 def _likely(sketches: np.ndarray, leaf: int, reached: list[np.ndarray], side: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i < j) of a block pair whose sketches agree often enough and whose least common leaf is this one."""
-    n = len(sketches)
-    agree = np.zeros((n, n), np.int16)
-    for c in range(sketches.shape[1]):
-        agree += sketches[:, c][:, None] == sketches[:, c][None, :]
-    ok = np.triu(agree >= least, 1)
+    ok = np.triu(_agreement(sketches) >= least, 1)
     if not (side == 2).all():
         ok &= side[:, None] != side[None, :]
     left, right = np.nonzero(ok)
     if len(left):
-        # Lists are sorted, so the first common leaf is the least one.
-        top = max(map(len, reached))
-        lists = np.full((n, top), np.iinfo(np.int64).max)
-        for i, r in enumerate(reached):
-            lists[i, : len(r)] = np.sort(r)
-        before = np.zeros(len(left), bool)
-        for c in range(top):
-            value = lists[left, c]
-            common = (lists[right] == value[:, None]).any(1) & (value < leaf)
-            before |= common
-        left, right = left[~before], right[~before]
+        lower = [[x for x in r if x < leaf] for r in reached]
+        top = max(map(len, lower))
+        if top:
+            # A common leaf below this one: then the pair is compared there.
+            lists = np.full((len(lower), top), leaf, np.int64)
+            for i, r in enumerate(lower):
+                lists[i, : len(r)] = r
+            elsewhere = np.zeros(len(left), bool)
+            for a in range(0, len(left), 1 << 15):
+                i, j = left[a : a + (1 << 15)], right[a : a + (1 << 15)]
+                for c in range(top):
+                    value = lists[i, c]
+                    elsewhere[a : a + (1 << 15)] |= (value < leaf) & (lists[j] == value[:, None]).any(1)
+            left, right = left[~elsewhere], right[~elsewhere]
     return left, right
 
 
+def _least_agreement(threshold: float) -> int:
+    """Coordinates in which a pair at the threshold agrees but for a chance of four standard errors."""
+    return math.floor(SKETCH * threshold - 4 * math.sqrt(SKETCH * threshold * (1 - threshold)))
+
+
 def _candidates(threshold: float):
-    least = math.floor(SKETCH * threshold - 4 * math.sqrt(SKETCH * threshold * (1 - threshold)))
+    least = _least_agreement(threshold)
 
-    def found(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sketches = np.stack(rows["sketch"].to_list())
-        left, right = _likely(sketches, key[0], rows["reached"].to_list(), rows["side"].to_numpy(), least)
-        return rows.loc[np.union1d(left, right), ["key", "leaf", "left", "right", "side", "reached"]]
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        sketches, reached, side = np.stack(rows["sketch"].to_list()), rows["reached"].to_list(), rows["side"].to_numpy()
+        own = []
+        for leaf, part in _groups(rows):
+            left, right = _likely(sketches[part], leaf, [reached[i] for i in part], side[part], least)
+            own.append(part[np.union1d(left, right)] if len(left) else part[:0])
+        return rows.iloc[np.concatenate(own)][["key", "leaf", "left", "right", "side", "bin", "reached"]]
 
     return found
 
@@ -151,46 +187,58 @@ def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
     shared = times[place] > 1
-    column = np.cumsum(times > 1)[place[shared]] - 1
+    column = (np.cumsum(times > 1) - 1)[place[shared]]
     owner, total = owner[shared], np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    for a in range(0, int(column.max(initial=-1)) + 1, 8192):
-        at = slice(*np.searchsorted(column, [a, a + 8192]))
-        part = np.zeros((len(sets), 8192), np.float32)
+    for a in range(0, int(column.max(initial=-1)) + 1, 4096):
+        at = slice(*np.searchsorted(column, [a, a + 4096]))
+        part = np.zeros((len(sets), 4096), np.float32)
         part[owner[at], column[at] - a] = 1
         total += part @ part.T
     return total[left, right].astype(np.int64)
 
 
+def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least index of each index's group of linked ones."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, left, root[right])
+        np.minimum.at(new, right, root[left])
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _verified(threshold: float, pairs: bool):
-    least = math.floor(SKETCH * threshold - 4 * math.sqrt(SKETCH * threshold * (1 - threshold)))
-
-    def found(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("key", ignore_index=True)
-        sets = [np.frombuffer(s, "<u8") for s in rows["shingles"]]
-        sketches = np.stack([sketch_of(s) for s in sets])
-        left, right = _likely(sketches, key[0], rows["reached"].to_list(), rows["side"].to_numpy(), least)
-        both = _intersections(sets, left, right)
-        sizes = np.array([len(s) for s in sets])
-        union = sizes[left] + sizes[right] - both
-        linked = both >= threshold * union - 1e-9
-        left, right = left[linked], right[linked]
-        names = rows["key"].to_numpy()
-        if pairs:
-            return pd.DataFrame({"a": names[left], "b": names[right], "jaccard": both[linked] / union[linked]})
-        count = np.bincount(left, minlength=len(rows)) + np.bincount(right, minlength=len(rows))
-        root = np.arange(len(rows))
-        while True:  # the least index of each group of linked records
-            new = root.copy()
-            np.minimum.at(new, left, root[right])
-            np.minimum.at(new, right, root[left])
-            new = np.minimum(new, new[new])
-            if (new == root).all():
-                break
-            root = new
-        own = np.flatnonzero(count)
-        return pd.DataFrame({"key": names[own], "links": count[own], "root": names[root[own]]})
+    least = _least_agreement(threshold)
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["key", "leaf", "left", "right"], ignore_index=True)
+        every = [np.frombuffer(s, "<u8") for s in rows["shingles"]]
+        reached, sides, keys = rows["reached"].to_list(), rows["side"].to_numpy(), rows["key"].to_numpy()
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for leaf, part in _groups(rows):
+            sets = [every[i] for i in part]
+            sketches = np.stack([sketch_of(s) for s in sets])
+            left, right = _likely(sketches, leaf, [reached[i] for i in part], sides[part], least)
+            if not len(left):
+                continue
+            both = _intersections(sets, left, right)
+            sizes = np.array([len(s) for s in sets])
+            union = sizes[left] + sizes[right] - both
+            linked = both >= threshold * union - 1e-9
+            left, right = left[linked], right[linked]
+            if pairs:
+                out.append((keys[part[left]], keys[part[right]], both[linked] / union[linked]))
+            elif len(left):
+                count = np.bincount(left, minlength=len(part)) + np.bincount(right, minlength=len(part))
+                own = np.flatnonzero(count)
+                out.append((keys[part[own]], count[own], keys[part[_roots(len(part), left, right)[own]]]))
+        names = ["a", "b", "jaccard"] if pairs else ["key", "links", "root"]
+        return pd.DataFrame({n: np.concatenate([o[i] for o in out]) if out else [] for i, n in enumerate(names)})
 
     return found
 
@@ -211,17 +259,16 @@ def _join(docs: DataFrame, text: str, doc_id: str, threshold: float, recall: flo
     leaves = written(_leaves(records, runs_for(recall, threshold)), "leaves")
     reached = leaves.groupBy("key").agg(F.collect_set("leaf").alias("reached"))  # runs * 2 ** DEPTH at most
     described = reached.join(records.select("key", "sketch"), "key")
-    groups = ["leaf", "left", "right"]
     likely = (
-        _blocks(leaves).join(described, "key").groupBy(*groups)
-        .applyInPandas(_candidates(threshold), "key binary, leaf long, left int, right int, side int, reached array<long>")
+        _blocks(leaves).join(described, "key").groupBy("bin")
+        .applyInPandas(_candidates(threshold), "key binary, leaf long, left int, right int, side int, bin long, reached array<long>")
     )
     likely = written(likely, "likely")
     wanted = likely.select("key").distinct().join(records.select("key", "rep"), "key")
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text")
     sets = texts.mapInPandas(_sets, "key binary, shingles binary")
     schema = "a binary, b binary, jaccard double" if pairs else "key binary, links long, root binary"
-    return sketched, records, likely.join(sets, "key").groupBy(*groups).applyInPandas(_verified(threshold, pairs), schema)
+    return sketched, records, likely.join(sets, "key").groupBy("bin").applyInPandas(_verified(threshold, pairs), schema)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
