@@ -107,6 +107,8 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     one = table.select("doc_id", "same", F.explode(F.arrays_zip("hashes", "places")).alias("r"))
     one = one.select(F.col("r.hashes").alias("hash"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "same", F.col("r.places").alias("place")).alias("at"))
     firsts = one.groupBy("hash").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "first")
+    # A table of its own: then both sides of the join are plain exchanges, which the engine splits at a frequent hash.
+    firsts = written(firsts, "firsts")
     later = one.join(firsts, "hash").filter(~F.col("at").eqNullSafe(F.col("first")))
     return later.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.same").alias("same")).agg(F.collect_set("at.place").alias("places"))
 
