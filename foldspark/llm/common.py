@@ -19,12 +19,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Texts that are handed to a Python worker at once, where the session keeps the engine's own 10,000.
+BATCH_ROWS = 1_000
+
+
 def let_workers_import(spark: SparkSession) -> None:
-    """Python workers find this package where the driver found it, whatever folder they were started in."""
+    """Python workers find this package where the driver found it, whatever folder they were started in, and get texts in
+    batches of some megabytes."""
     root, own = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = own.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         own["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, str(BATCH_ROWS))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -45,6 +45,8 @@ RESTS = 4
 RATE = 0.3
 #: Cells over which the pieces of one length are ranked.
 CELLS = 256
+#: Chunks whose ids a worker remembers.
+REMEMBERED = 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -218,7 +220,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 
 def _pieces(batches: Iterator[pd.DataFrame], vocabulary: str, capacity: int, end_id: int) -> Iterator[pd.DataFrame]:
-    encode = encoder(vocabulary, False).encode
+    encode = encoder(vocabulary, False, REMEMBERED).encode
     end = np.array([end_id], "<u4")
     for batch in batches:
         rows = []

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Chunks that one worker remembers.
+#: Chunks that one worker remembers, of some 230 bytes each.
 CACHE_CHUNKS = 700_000
 #: Longer chunks are not remembered.
 CACHE_CHARS = 64
@@ -48,13 +48,13 @@ def vocabulary_path(name: str, folder: str | None = None) -> str:
 class _Chunks(dict):
     """ids by chunk; computes what it lacks."""
 
-    def __init__(self, compute: Callable[[str], bytes]):
+    def __init__(self, compute: Callable[[str], bytes], most: int):
         super().__init__()
-        self._compute = compute
+        self._compute, self._most = compute, most
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self._compute(chunk)
-        if len(self) < CACHE_CHUNKS and len(chunk) <= CACHE_CHARS:
+        if len(self) < self._most and len(chunk) <= CACHE_CHARS:
             self[chunk] = ids
         return ids
 
@@ -62,7 +62,7 @@ class _Chunks(dict):
 class Encoder:
     """ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
-    def __init__(self, path: str, keeps_spaces: bool):
+    def __init__(self, path: str, keeps_spaces: bool, most: int = CACHE_CHUNKS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,7 +72,7 @@ class Encoder:
         self._tokenizer.encode_special_tokens = True
         self._keeps_spaces = keeps_spaces
         self._model = self._tokenizer.model
-        self._known = _Chunks(self._chunk)
+        self._known = _Chunks(self._chunk, most)
         self._known.update((mark, self._direct([mark])[0]) for mark in ".,;:!?")
 
     def _direct(self, texts: list[str]) -> list[bytes]:
@@ -118,11 +118,11 @@ class Encoder:
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, keeps_spaces: bool) -> Encoder:
+def encoder(path: str, keeps_spaces: bool, most: int = CACHE_CHUNKS) -> Encoder:
     """The worker's own encoder of a vocabulary file."""
     key = (path, keeps_spaces)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, keeps_spaces)
+        _encoders[key] = Encoder(path, keeps_spaces, most)
     return _encoders[key]
 
 
