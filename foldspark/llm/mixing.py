@@ -3,13 +3,13 @@
 Every source asks for a share of the target size in proportion to its weight, but can give ``cap`` times its own size at
 most.  The level of the water is found exactly: sources ordered by cap per weight fill up first, and what they cannot
 hold goes to the others by weight.  A source whose target is m times its size gives every document floor(m) times and a
-seeded sample of its documents once more.  The sample is systematic along the documents ordered by size, so that its
-words come as near the target as whole documents allow: of ``STARTS`` seeded starting points, the one whose words come
-nearest is used.
+seeded sample of its documents once more.  How many documents of each size are in the sample is found from the largest
+size down: the share of their words, and what larger sizes have left over or taken too much, in whole documents by seeded
+rounding, unless the smaller sizes could not make up for it.  So the sample's words miss the target by no more than a
+small document, and which documents of a size are in it is decided by a seeded hash.
 
-Ranks are never counted in one task for a whole source: documents of one source and size are spread over 256 cells by a
-seeded hash, ranks are counted in each cell, and the number of documents in the cells before it is added.  These counts
-number (sizes x 256) a source at most, whatever the number of documents; only one row a size is ordered in one task.
+Only the counts of a source's different sizes are ever in one task, and these are as many as its longest text has words
+at most.  Documents of one source and size are ranked in 256 cells of their hash; the number in the cells before is added.
 
 Defined results: null text or text without a word has size 0 and is taken 0 times; the null source is a source of its
 own, last in the order; repeated rows count one by one; an empty table gives an empty result; columns of any other name
@@ -18,6 +18,9 @@ are kept by ``repeated`` and ignored by ``mixture``.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +28,6 @@ from .common import documents, words_in, written
 
 CAP = 3.0
 SEED = 17
-#: Starting points that are tried for each source.
-STARTS = 32
 
 
 def water_fill(totals: DataFrame, cap: float = CAP, share: float = 1.0) -> DataFrame:
@@ -79,40 +80,47 @@ def _planned(docs: DataFrame, text: str, source: str, doc_id: str, cap: float, s
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("times", times).withColumn("whole", F.floor("times")).withColumn("part", F.col("times") - F.col("whole"))
 
-    larger = Window.partitionBy("key").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("key", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cells.groupBy("key", "size").agg(F.sum("n").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(larger), F.lit(0)))
-    cells = cells.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    cells = cells.join(sizes.drop("n"), ["key", "size"]).withColumn("before", F.col("before") + F.col("earlier")).drop("earlier")
-    tries = (
-        sizes.join(plan.select("key", "part", "source_size"), "key")
-        .withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
-        .withColumn("start", _unit(F.concat(F.lit(f"{seed}:"), F.col("key")).cast("binary")) + F.col("try") / F.lit(float(STARTS)))
-        .withColumn(
-            "words",
-            F.col("size")
-            * (F.floor((F.col("before") + F.col("n")) * F.col("part") + F.col("start")) - F.floor(F.col("before") * F.col("part") + F.col("start"))),
-        )
-        .groupBy("key", "try", "start")
-        .agg(F.sum("words").alias("words"), F.max(F.col("part") * F.col("source_size")).alias("wanted"))
-    )
-    best = tries.groupBy("key").agg(F.min(F.struct(F.abs(F.col("words") - F.col("wanted")), F.col("try"), F.col("start"))).alias("best"))
+    sizes = cells.filter("size > 0").groupBy("key", "size").agg(F.sum("n").alias("n")).join(plan.select("key", "part"), "key")
+    sizes = sizes.withColumn("draw", _unit(F.concat(F.lit(f"{seed}:"), F.col("key"), F.lit(":"), F.col("size").cast("string")).cast("binary")))
+    chosen = sizes.groupBy("key").applyInPandas(_sampled_sizes, "key string, size long, chosen long")
     cells = (
-        cells.join(plan.drop("source"), "key")
-        .join(best.select("key", "best.start"), "key")
+        cells.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .join(plan.drop("source"), "key")
+        .join(chosen, ["key", "size"], "left")
         .select(
             F.col("key").alias("_mix_key"), F.col("size").alias("_mix_size"), F.col("cell").alias("_mix_cell"),
-            F.struct("before", "source_size", "target", "whole", "part", "start").alias("_mix_plan"),
+            F.struct("earlier", "source_size", "target", "whole", "chosen").alias("_mix_plan"),
         )
     )
     cell = ["_mix_key", "_mix_size", "_mix_cell"]
-    ranked = rows.withColumn("_mix_rank", F.row_number().over(Window.partitionBy(*cell).orderBy("_mix_hash")) - 1)
-    place = F.col("_mix_plan.before") + F.col("_mix_rank")
-    part, start = F.col("_mix_plan.part"), F.col("_mix_plan.start")
-    more = F.floor((place + 1) * part + start) - F.floor(place * part + start)
+    ranked = rows.withColumn("_mix_rank", F.row_number().over(Window.partitionBy(*cell).orderBy("_mix_hash")))
+    more = (F.col("_mix_rank") + F.col("_mix_plan.earlier") <= F.col("_mix_plan.chosen")).cast("long")
     return ranked.join(cells, cell).withColumn("_mix_times", F.when(F.col("_mix_size") > 0, F.col("_mix_plan.whole") + more).otherwise(F.lit(0)))
 
 
+def _sampled_sizes(sizes: pd.DataFrame) -> pd.DataFrame:
+    """How many documents of each size of one source the sample has."""
+    sizes = sizes.sort_values("size", ascending=False)
+    carry, chosen = 0.0, []
+    rest = int((sizes["n"] * sizes["size"]).sum())
+    for size, n, part, draw in zip(sizes["size"].tolist(), sizes["n"].tolist(), sizes["part"].tolist(), sizes["draw"].tolist(), strict=True):
+        words, rest = part * n * size + carry, rest - n * size
+
+        def amiss(k: int, size=size, part=part, words=words, rest=rest) -> float:
+            """Words that all of the smaller sizes, or none of them, would still leave wrong."""
+            wanted = part * rest + (words - k * size)
+            return max(0.0, -wanted, wanted - rest)
+
+        low = max(0, min(n, math.floor(words / size)))
+        high = max(0, min(n, math.floor(words / size) + 1))
+        drawn = max(0, min(n, math.floor(words / size + draw)))
+        k = drawn if amiss(low) == amiss(high) else low if amiss(low) < amiss(high) else high
+        carry = words - k * size
+        chosen.append(k)
+    return pd.DataFrame({"key": sizes["key"], "size": sizes["size"], "chosen": chosen})
+
+
 def mixture(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", cap: float = CAP, seed: int = SEED) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken."""
     rows = _planned(docs.select(doc_id, text, source), text, source, doc_id, cap, seed)
@@ -136,7 +144,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = rf"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS key,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
     md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
@@ -160,17 +168,24 @@ shares AS (
   SELECT *, floor(times) AS whole, times - floor(times) AS part FROM (
     SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS times FROM plan)),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY key ORDER BY size DESC, h, doc_id) - 1 AS place FROM sized),
-starts AS (
-  SELECT key, part, source_size, t.try AS try,
-    CAST(('0x' || substr(md5('{SEED}:' || key), 1, 8)) AS BIGINT) / 4294967296.0 + t.try / {float(STARTS)} AS start
-  FROM shares, (SELECT unnest(range({STARTS})) AS try) t),
-tried AS (
-  SELECT s.key, s.try, s.start, abs(sum(r.size * (floor((r.place + 1) * s.part + s.start) - floor(r.place * s.part + s.start))) - max(s.part * s.source_size)) AS off
-  FROM starts s JOIN ranked r USING (key) GROUP BY s.key, s.try, s.start),
-best AS (
-  SELECT key, start FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY off, try) AS n FROM tried) WHERE n = 1)
-SELECT doc_id, size, source_size, target,
-  CASE WHEN size > 0 THEN CAST(size * (whole + floor((place + 1) * part + start) - floor(place * part + start)) AS BIGINT) ELSE 0 END AS taken
-FROM ranked JOIN shares USING (key) JOIN best USING (key)
+  SELECT *, row_number() OVER (PARTITION BY key, size ORDER BY h, doc_id) AS place FROM sized),
+sizes AS (
+  SELECT key, size, CAST(count(*) AS DOUBLE) AS n, row_number() OVER (PARTITION BY key ORDER BY size DESC) AS i,
+    CAST(coalesce(sum(count(*) * size) OVER (PARTITION BY key ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS rest,
+    CAST(('0x' || substr(md5('{SEED}:' || key || ':' || size), 1, 8)) AS BIGINT) / 4294967296.0 AS draw
+  FROM sized WHERE size > 0 GROUP BY key, size),
+steps AS (
+  SELECT key, part, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS k, CAST(0 AS DOUBLE) AS carry FROM shares
+  UNION ALL
+  SELECT key, part, i, k, words - k * size FROM (
+    SELECT *, CASE WHEN greatest(0.0, -wl, wl - rest) = greatest(0.0, -wh, wh - rest) THEN drawn
+      WHEN greatest(0.0, -wl, wl - rest) < greatest(0.0, -wh, wh - rest) THEN low ELSE high END AS k FROM (
+      SELECT *, part * rest + (words - low * size) AS wl, part * rest + (words - high * size) AS wh FROM (
+        SELECT *, greatest(0.0, least(n, floor(words / size))) AS low, greatest(0.0, least(n, floor(words / size) + 1)) AS high,
+          greatest(0.0, least(n, floor(words / size + draw))) AS drawn FROM (
+          SELECT z.key, p.part, z.i, z.size, z.n, z.draw, z.rest, p.part * z.n * z.size + p.carry AS words
+          FROM steps p JOIN sizes z ON z.key = p.key AND z.i = p.i + 1)))))
+SELECT doc_id, r.size AS size, source_size, target,
+  CASE WHEN r.size > 0 THEN CAST(r.size * (whole + CASE WHEN place <= t.k THEN 1 ELSE 0 END) AS BIGINT) ELSE 0 END AS taken
+FROM ranked r JOIN shares USING (key) LEFT JOIN sizes z ON z.key = r.key AND z.size = r.size LEFT JOIN steps t ON t.key = z.key AND t.i = z.i
 """
