@@ -39,7 +39,7 @@ from .components import components
 from .shingles import mixed, shingle_set
 
 THRESHOLD = 0.8
-RECALL = 0.999
+RECALL = 0.99999
 SKETCH = 64
 SMALL = 512
 DEPTH = 3
