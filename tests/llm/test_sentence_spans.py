@@ -1,13 +1,20 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from foldspark.llm import sentence_spans as S
+from foldspark.llm.shingles import span_hashes
 
 from .conftest import prose
 
 
+def breaks(word):
+    raw = np.frombuffer(word, np.uint8)
+    return bool(S.breaks_after(span_hashes(raw, np.array([0]), np.array([len(raw)])))[0])
+
+
 def cut_words(text):
     """Sentences as (words, bytes), by a plain walk over the text."""
     data = (text or "").encode()
@@ -25,10 +32,15 @@ def cut_words(text):
             else:
                 head += part
             continue
-        for a in range(0, len(words), 25):
+        cuts, last = [0], 0
+        for k in range(1, len(words)):
+            if len(words) > 25 and breaks(words[k - 1][1]) or k - last == 25:
+                cuts.append(k)
+                last = k
+        for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True):
             begin = 0 if a == 0 else words[a][0]
-            end = words[a + 25][0] if a + 25 < len(words) else len(part)
-            out.append(([w for _, w in words[a : a + 25]], (head if not out else b"") + part[begin:end]))
+            end = words[b][0] if b < len(words) else len(part)
+            out.append(([w for _, w in words[a:b]], (head if not out else b"") + part[begin:end]))
     return out
 
 
@@ -104,6 +116,17 @@ def test_passages_go_from_all_but_the_first(make, corpus):
         assert p in cut[holders[0]] or all(x in cut[holders[0]] for x in sentences)
 
 
+def test_passages_inside_other_sentences(make):
+    """A passage that neither begins nor ends with a sentence: nothing of 50 words is left twice."""
+    passage = [w.strip(".") for w in prose(77, 90).split()]
+    rows = [(i, " ".join([*prose(800 + i, 30 + 7 * i).replace(".", "").split(), *passage, *prose(900 + i, 20).replace(".", "").split()])) for i in range(6)]
+    cut = check(make, rows)
+    assert " ".join(passage) in cut[0]
+    for i in range(1, 6):
+        assert not any(" ".join(passage[k : k + 50]) in cut[i] for k in range(40))
+        assert cut[i].startswith(" ".join(rows[i][1].split()[:20]))
+
+
 def test_edges(make, edge_rows):
     rows = [r[:2] for r in edge_rows]
     cut = check(make, rows)
