@@ -36,13 +36,13 @@ def _element(kind: T.DataType) -> T.DataType:
     return kind.elementType if isinstance(kind, T.ArrayType) else kind
 
 
-def _narrowed(op: str, value: Column, kind: T.DataType, axis: int | None) -> Column:
+def _narrowed(op: str, value: Column, kind: T.DataType, axis: int | None, return_mean: bool = False) -> Column:
     """The result type along an axis: float for float input; exact ops keep the input's type; percentiles stay double."""
     if axis is None or not isinstance(kind, T.FloatType) or op in ("percentile", "quantile", "average", "count_finite"):
         return value
-    if op in ("mean", "sum", "median", "min", "max", "lmedian", "var", "std"):
-        return value.cast("float")
-    return value
+    if op == "minmax":
+        return value.cast("struct<min:float,max:float>")
+    return value.cast(f"struct<{op}:float,mean:float>" if return_mean else "float")
 
 
 def reduce(
@@ -99,7 +99,7 @@ def reduce(
     if axis == -1:
         w = F.array(*[F.lit(float(x)) for x in weights]) if weights is not None and not isinstance(weights, str) else F.col(weights) if weights else None
         value = _in_row(op, F.col(column), w, policy, kinds, weight_kind, fractions, scalar, ddof, return_mean, return_sum_weights, return_unweighted_sum)
-        return df.withColumn(alias, _narrowed(op, value, element, axis) if not return_mean else value)
+        return df.withColumn(alias, value if op == "sum" and weights is not None else _narrowed(op, value, element, axis, return_mean))
 
     keys = [F.col(k) for k in by]
     if is_array:
@@ -123,7 +123,7 @@ def reduce(
     if op == "lmedian" and kinds in ("wide", "bool") and not df.isStreaming:
         return _exact_lower_median(rows, by, alias)
     value = _aggregate(op, policy, kinds, weights is not None, weight_kind, fractions, scalar, ddof, return_mean, return_sum_weights, return_unweighted_sum, strict, element)
-    value = value if return_mean else _narrowed(op, value, element, axis)
+    value = value if op == "sum" and weights is not None else _narrowed(op, value, element, axis, return_mean)
     return rows.groupBy(*by).agg(value.alias(alias)) if by else rows.agg(value.alias(alias))
 
 

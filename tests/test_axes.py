@@ -34,8 +34,9 @@ def test_nan_aware(spark, axis, dtype):
     found = along(spark, "percentile", a, axis, Policy.SKIP_NAN, q=[25, 50, 75])
     assert found == pytest.approx(np.nanpercentile(a.astype(float), [25, 50, 75], axis=axis), rel=1e-4, abs=1e-5)
     assert along(spark, "quantile", a, axis, Policy.SKIP_NAN, q=0.25) == pytest.approx(np.nanquantile(a.astype(float), 0.25, axis=axis), rel=1e-4, abs=1e-5)
-    kind = dict(fs.mean(sources.stack(spark, a, axis), "a", axis).dtypes)["value"]
-    assert kind == ("float" if dtype == "float32" else "double")
+    kind, table = "float" if dtype == "float32" else "double", sources.stack(spark, a, axis, np.ones(a.shape))
+    types = {op: dict(fs.reduce(table, op, "a", axis=axis, **o).dtypes)["value"] for op, o in {"mean": {}, "minmax": {}, "var": {"return_mean": True}, "quantile": {"q": 0.5}, "average": {"weights": "w"}, "sum": {"weights": "w"}, "count_finite": {}}.items()}
+    assert types == {"mean": kind, "minmax": f"struct<min:{kind},max:{kind}>", "var": f"struct<var:{kind},mean:{kind}>", "quantile": "double", "average": "double", "sum": "double", "count_finite": "bigint"}
 
 
 @pytest.mark.parametrize("axis", [0, -1])
