@@ -128,7 +128,7 @@ def _candidates(words: Column, rare: dict[str, dict[str, float]]) -> Column:
         x = F.when(same, state["x"]).otherwise(F.lit(0.0)) + vote["x"]
         share = F.least(x / F.element_at(totals, vote["t"] + 1), F.lit(1.0))
         kept = F.coalesce(state["found"], F.array().cast("array<struct<t:int,share:double>>"))
-        found = F.when(share >= SHARE, F.array_append(kept, F.struct(vote["t"].alias("t"), share.alias("share")))).otherwise(kept)
+        found = F.when(share >= SHARE - 1e-12, F.array_append(kept, F.struct(vote["t"].alias("t"), share.alias("share")))).otherwise(kept)
         return F.struct(vote["t"].alias("t"), vote["at"].alias("at"), x.alias("x"), found.alias("found"))
 
     return F.coalesce(F.aggregate(F.array_sort(votes), start, add)["found"], F.array().cast("array<struct<t:int,share:double>>"))
@@ -169,7 +169,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
         "last_word",
         F.concat_ws(",", "base").alias("base_labels"),
         F.concat_ws(",", F.array_sort(F.array_distinct(F.concat("base", F.coalesce(labels, none))))).alias("labels"),
-        F.coalesce(F.array_max(F.transform("found", lambda f: f["share"])), F.lit(0.0)).alias("score"),
+        F.round(F.coalesce(F.array_max(F.transform("found", lambda f: f["share"])), F.lit(0.0)), 6).alias("score"),
     )
 
 
