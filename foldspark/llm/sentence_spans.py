@@ -1,11 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut after sentence ends and at line ends, and sentences of more than ``PIECE_WORDS`` words into pieces of that
-many.  Every run of ``SPAN`` consecutive sentences is hashed; where that is less than ``LEAST_WORDS`` words, it goes on
+many at most: after words that a hash picks (one in ``BREAK``), so that a passage is cut alike wherever it stands in a
+sentence.  Every run of ``SPAN`` consecutive sentences is hashed; where that is less than ``LEAST_WORDS`` words, it goes on
 until it has them, forwards from its first sentence and backwards from its last.  The hashes are joined over the whole
 table; all sentences of a run that is not the first one with its hash are removed.  The first is that of the least
-(doc_id, place); a null doc_id comes last.  So in a passage of more than 50 words that begins with a sentence, every
-whole sentence is part of a run that lies inside the passage.
+(doc_id, place); a null doc_id comes last.  So in a passage of more than 50 words, every whole sentence is part of a run
+that lies inside the passage.
 
 Shuffled are one row a run for the counts (combined before the shuffle), the same rows for the join, and the texts once.
 A hash that thousands of documents share is summed before it is shuffled, and its join is split by the engine's skew
@@ -31,35 +32,52 @@ from .shingles import span_hashes, word_bounds
 
 SPAN = 3
 PIECE_WORDS = 25
+BREAK = 8
 LEAST_WORDS = 15
 
 _END = re.compile(rb"[.!?]+[ \t-\r]+|\n[ \t-\r]*")
 
 
-def sentences(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First bytes and after-last bytes of the words; first words and first bytes of the sentences."""
+def breaks_after(words: np.ndarray) -> np.ndarray:
+    """Whether a long sentence is cut after words of these hashes."""
+    return (words >> np.uint64(32)) % np.uint64(BREAK) == 0
+
+
+def _within(starts: np.ndarray, n: int) -> np.ndarray:
+    """How far each of n words is from the last start."""
+    new = np.zeros(n, np.int64)
+    new[starts] = 1
+    return np.arange(n) - starts[np.cumsum(new) - 1]
+
+
+def sentences(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words; first words and first bytes of the sentences."""
     raw = np.frombuffer(data, np.uint8)
     first, after = word_bounds(raw)
+    n = len(first)
+    if not n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    words = span_hashes(raw, first, after)
     ends = np.fromiter((m.end() for m in _END.finditer(data)), np.int64)
     sentence = np.searchsorted(ends, first, "right")
-    new = np.concatenate([[True], sentence[1:] != sentence[:-1]]) if len(first) else np.empty(0, bool)
-    starts = np.flatnonzero(new)
-    within = np.arange(len(first)) - starts[np.cumsum(new) - 1] if len(first) else np.empty(0, np.int64)
-    pieces = np.flatnonzero(within % PIECE_WORDS == 0)
+    starts = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
+    sizes = np.diff(np.append(starts, n))
+    cut = np.repeat(sizes > PIECE_WORDS, sizes) & np.concatenate([[False], breaks_after(words[:-1])])
+    cut[starts] = True
+    pieces = np.flatnonzero(cut)
+    pieces = np.flatnonzero(_within(pieces, n) % PIECE_WORDS == 0)
     places = first[pieces].copy()
-    if len(places):
-        places[0] = 0
-    return first, after, pieces, places
+    places[0] = 0
+    return words, pieces, places
 
 
 def runs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs, and where they stand: first sentence * 2^32 + the sentence after the last."""
     data = (text or "").encode("utf-8", "replace")
-    first, after, pieces, _ = sentences(data)
+    words, pieces, _ = sentences(data)
     n = len(pieces)
     if n < SPAN:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    words = span_hashes(np.frombuffer(data, np.uint8), first, after)
     bounds = np.append(pieces, len(words))
     forwards = np.maximum(np.arange(n) + SPAN, np.searchsorted(bounds, bounds[:n] + LEAST_WORDS, "left"))
     backwards = np.minimum(np.arange(1, n + 1) - SPAN, np.searchsorted(bounds, bounds[1:] - LEAST_WORDS, "right") - 1)
@@ -81,7 +99,7 @@ def cut(text: str | None, places: np.ndarray | list[int] | None) -> tuple[str |
     if text is None:
         return None, 0, 0
     data = text.encode("utf-8", "replace")
-    begins = sentences(data)[3]
+    begins = sentences(data)[2]
     n = len(begins)
     if places is None or not len(places):
         return text, n, 0
