@@ -46,7 +46,7 @@ def _rank(policy: Policy, percent: bool, many: bool = False):
 def _axis(axis: int, policy: Policy):
     def call(df: DataFrame, column: str, op: str, ddof: int = 0, *, copy: bool = False, **options) -> DataFrame:
         if op not in AXIS_OPS:
-            raise ValueError(f"unknown reducer op {op!r}; expected one of {', '.join(sorted(AXIS_OPS))}")
+            raise ValueError(f"unknown op {op!r}; expected one of {', '.join(sorted(AXIS_OPS))}")
         return frame.reduce(df, op, column, axis=axis, policy=policy, ddof=ddof, validate=False, **options)
 
     return call

@@ -32,7 +32,7 @@ def test_trusted_names(spark):
     rows = sources.stack(spark, np.arange(6.0).reshape(3, 2))
     assert [r["value"] for r in trusted.reduce_axis0_valid(rows, "a", "median").orderBy("pos").collect()] == [2, 3]
     assert [r["value"] for r in trusted.percentile_axis_last_valid(rows, "a", 50).orderBy("row").collect()] == [0.5, 2.5, 4.5]
-    with pytest.raises(ValueError, match="unknown reducer op"):
+    with pytest.raises(ValueError, match="unknown op"):
         trusted.reduce_axis0_valid(rows, "a", "mode")
     assert table.agg(trusted.percentiles_valid("x", [0, 100])).first()[0] == [1, 4]
 
