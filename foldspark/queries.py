@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import reduce
@@ -52,10 +52,6 @@ def _grouped(op: str, column: str, digits: int | None, nan_aware: bool = True, *
     return lambda spark, d: _rounded(call(lines(spark, d), column, by="g", **options), "g", digits=digits)
 
 
-def _by_g(*values: F.Column) -> Query:
-    return lambda spark, d: lines(spark, d).groupBy("g").agg(*[v if isinstance(v, F.Column) else v for v in values])
-
-
 def _ranks(column: str, ignore_inf: bool) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         found = frame.nanpercentile(lines(spark, d), column, by="g", q=[16, 50, 84], ignore_inf=ignore_inf)
@@ -72,8 +68,9 @@ def _row(op: str, digits: int | None, **options) -> Query:
     return lambda spark, d: _rounded(reduce(vectors(spark, d), op, "e", axis=-1, **options), "vec_id", digits=digits)
 
 
-def _special(values: dict[str, F.Column]) -> Query:
-    return lambda spark, d: lines(spark, d).groupBy("g").agg(*[v.alias(k) for k, v in values.items()])
+def _special(values: Callable[[], dict[str, Column]]) -> Query:
+    """Named aggregates, made when the query runs: an expression needs a session."""
+    return lambda spark, d: lines(spark, d).groupBy("g").agg(*[v.alias(k) for k, v in values().items()])
 
 
 def _unpacked(op: str, fields: dict[str, tuple[str, int | None]], call: Callable[[DataFrame], DataFrame], *keys: str) -> Callable[[DataFrame], DataFrame]:
@@ -140,7 +137,7 @@ def _catalogue() -> dict[str, tuple[Query, str]]:
         _sql("round(var_pop(2.0 * i), 6) AS v"),
     )
     out["inf_is_kept_by_skip_nan"] = (
-        _special({"kept": C.nanmax("x") == INF, "sum_inf": C.nansum("x") == INF}),
+        _special(lambda: {"kept": C.nanmax("x") == INF, "sum_inf": C.nansum("x") == INF}),
         _sql(f"max(CASE WHEN NOT isnan(x) THEN x END) = CAST('Infinity' AS DOUBLE) AS kept, sum(CASE WHEN NOT isnan(x) THEN x END) = CAST('Infinity' AS DOUBLE) AS sum_inf"),
     )
     plain = {"mean": "avg(y)", "sum": "sum(y)", "median": "median(y)", "average": "sum(y * w) / sum(w)", "var": "var_pop(y)", "std": "stddev_pop(y)"}
@@ -154,7 +151,7 @@ def _catalogue() -> dict[str, tuple[Query, str]]:
         )
     for op, clean in (("min", "min(y)"), ("max", "max(y)")):
         out[f"plain_{op}_propagates_nan"] = (
-            _special({"is_nan": F.isnan(getattr(C, op)("x")), f"clean_{op}": getattr(C, op)("y")}),
+            _special(lambda op=op: {"is_nan": F.isnan(getattr(C, op)("x")), f"clean_{op}": getattr(C, op)("y")}),
             _sql(f"bool_or(isnan(x)) AS is_nan, {clean} AS clean_{op}"),
         )
     out["plain_percentile_propagates_nan"] = (
@@ -173,7 +170,7 @@ def _catalogue() -> dict[str, tuple[Query, str]]:
         _sql("min(i) AS lo, max(i) AS hi, quantile_disc(i, 0.5) AS lmed"),
     )
     out["int_computed_float"] = (
-        _special({"mean": F.round(C.mean("i", kind="int"), 6), "s": C.sum("i", kind="int"), "med": C.median("i", kind="int")}),
+        _special(lambda: {"mean": F.round(C.mean("i", kind="int"), 6), "s": C.sum("i", kind="int"), "med": C.median("i", kind="int")}),
         _sql("round(avg(i), 6) AS mean, CAST(sum(i) AS DOUBLE) AS s, median(i) AS med"),
     )
     out["bigint_lower_median_by_flag"] = (_grouped("lmedian", "k", None), _sql("quantile_disc(k, 0.5) AS v"))
@@ -213,7 +210,7 @@ def _catalogue() -> dict[str, tuple[Query, str]]:
     )
     # Trusted names: one query with every scan, one with every weighted form, one with the ranks.
     out["trusted_scans_by_flag"] = (
-        _special({
+        _special(lambda: {
             "s": F.round(trusted.sum_valid("y"), 2), "m": F.round(trusted.mean_valid("y"), 4), "lo": trusted.min_valid("y"), "hi": trusted.max_valid("y"),
             "lo2": trusted.minmax_skip_nonfinite("x")["min"], "hi2": trusted.minmax_skip_nan("n")["max"], "sd": F.round(trusted.std_valid("y", 1), 4),
             "vm": F.round(trusted.var_mean_skip_nonfinite("x", 1)["mean"], 4), "med": F.round(trusted.median_skip_nonfinite("x"), 4), "lmed": trusted.lmedian_skip_nan("n"), "c": trusted.count_finite("x"),
@@ -222,7 +219,7 @@ def _catalogue() -> dict[str, tuple[Query, str]]:
              f"round(avg({k}), 4) AS vm, round(median({k}), 4) AS med, quantile_disc(CASE WHEN NOT isnan(n) THEN n END, 0.5) AS lmed, count({k}) AS c"),
     )
     out["trusted_weighted_by_flag"] = (
-        _special({
+        _special(lambda: {
             "a": F.round(trusted.weighted_average_valid("y", "w"), 4), "b": F.round(trusted.weighted_average_skip_nonfinite("x", "w"), 4), "c": F.round(trusted.weighted_sum_only_skip_nan("n", "w"), 1),
             "d": trusted.weighted_sum_and_weights_skip_nonfinite("x", "w")["sum_weights"], "e": F.round(trusted.weighted_sum_and_unweighted_skip_nan("n", "w")["unweighted_sum"], 2), "f": F.round(trusted.weighted_sum_valid("y", "w")["weighted_sum"], 1),
         }),
@@ -230,7 +227,7 @@ def _catalogue() -> dict[str, tuple[Query, str]]:
              f"sum(CASE WHEN {_FINITE} THEN w END) AS d, round(sum(CASE WHEN NOT isnan(n) THEN n END), 2) AS e, round(sum(y * w), 1) AS f"),
     )
     out["trusted_ranks_by_flag"] = (
-        _special({
+        _special(lambda: {
             "a": F.round(trusted.percentile_valid("y", 10), 4), "b": F.round(trusted.quantile_skip_nonfinite("x", 0.75), 4), "c": F.round(trusted.percentiles_valid("y", [5, 95])[1], 4), "d": F.round(trusted.quantile_valid_in_place("y", 0.5), 4),
         }),
         _sql(f"round(quantile_cont(y, 0.1), 4) AS a, round(quantile_cont({k}, 0.75), 4) AS b, round(quantile_cont(y, 0.95), 4) AS c, round(median(y), 4) AS d"),

@@ -172,3 +172,13 @@ def test_tuning(spark):
     best, scores = best_grain(spark, "minmax_1d", [1024], 2000, 1, 0, 1e9)
     assert best in scores and len(scores) == 2
     assert main(["--reset", "--config", "/tmp/no-such-grains.json"]) == 0
+
+
+def test_names_need_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 80)"
+    said = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert said.stdout.strip() == "True", said.stderr
