@@ -174,7 +174,7 @@ def _candidates(threshold: float):
         for leaf, part in _groups(rows):
             left, right = _likely(sketches[part], leaf, [reached[i] for i in part], side[part], least)
             own.append(part[np.union1d(left, right)] if len(left) else part[:0])
-        return rows.iloc[np.concatenate(own)][["key", "leaf", "left", "right", "side", "bin", "reached"]]
+        return rows.iloc[np.concatenate(own)][["key", "rep", "leaf", "left", "right", "side", "bin", "reached"]]
 
     return found
 
@@ -218,8 +218,8 @@ def _verified(threshold: float, pairs: bool):
     def found(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["key", "leaf", "left", "right"], ignore_index=True)
         every = [np.frombuffer(s, "<u8") for s in rows["shingles"]]
-        reached, sides, keys = rows["reached"].to_list(), rows["side"].to_numpy(), rows["key"].to_numpy()
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        reached, sides, keys, reps = rows["reached"].to_list(), rows["side"].to_numpy(), rows["key"].to_numpy(), rows["rep"].astype("Int64").to_numpy(dtype=object)
+        out: list[tuple[np.ndarray, ...]] = []
         for leaf, part in _groups(rows):
             sets = [every[i] for i in part]
             sketches = np.stack([sketch_of(s) for s in sets])
@@ -236,9 +236,11 @@ def _verified(threshold: float, pairs: bool):
             elif len(left):
                 count = np.bincount(left, minlength=len(part)) + np.bincount(right, minlength=len(part))
                 own = np.flatnonzero(count)
-                out.append((keys[part[own]], count[own], keys[part[_roots(len(part), left, right)[own]]]))
-        names = ["a", "b", "jaccard"] if pairs else ["key", "links", "root"]
-        return pd.DataFrame({n: np.concatenate([o[i] for o in out]) if out else [] for i, n in enumerate(names)})
+                root = part[_roots(len(part), left, right)[own]]
+                out.append((keys[part[own]], reps[part[own]], count[own], keys[root], reps[root]))
+        names = ["a", "b", "jaccard"] if pairs else ["key", "rep", "links", "root", "root_rep"]
+        made = pd.DataFrame({n: np.concatenate([o[i] for o in out]) if out else [] for i, n in enumerate(names)})
+        return made if pairs else made.astype({"rep": "Int64", "root_rep": "Int64"})
 
     return found
 
@@ -258,16 +260,16 @@ def _join(docs: DataFrame, text: str, doc_id: str, threshold: float, recall: flo
     records = written(records.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")), "records")
     leaves = written(_leaves(records, runs_for(recall, threshold)), "leaves")
     reached = leaves.groupBy("key").agg(F.collect_set("leaf").alias("reached"))  # runs * 2 ** DEPTH at most
-    described = reached.join(records.select("key", "sketch"), "key")
+    described = reached.join(records.select("key", "rep", "sketch"), "key")
     likely = (
         _blocks(leaves).join(described, "key").groupBy("bin")
-        .applyInPandas(_candidates(threshold), "key binary, leaf long, left int, right int, side int, bin long, reached array<long>")
+        .applyInPandas(_candidates(threshold), "key binary, rep long, leaf long, left int, right int, side int, bin long, reached array<long>")
     )
     likely = written(likely, "likely")
-    wanted = likely.select("key").distinct().join(records.select("key", "rep"), "key")
+    wanted = likely.select("key", "rep").distinct()
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text")
     sets = texts.mapInPandas(_sets, "key binary, shingles binary")
-    schema = "a binary, b binary, jaccard double" if pairs else "key binary, links long, root binary"
+    schema = "a binary, b binary, jaccard double" if pairs else "key binary, rep long, links long, root binary, root_rep long"
     return sketched, records, likely.join(sets, "key").groupBy("bin").applyInPandas(_verified(threshold, pairs), schema)
 
 
@@ -277,12 +279,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sketched, records, found = _join(docs, text, doc_id, threshold, recall, pairs=False)
     found = written(found, "links")
     links = found.groupBy("key").agg(F.sum("links").alias("n_links"))
-    roots = components(found.select(F.col("key").alias("u"), F.col("root").alias("v")))
-    roots = roots.withColumnRenamed("node", "key")
+    # Nodes are ordered by their least doc_id (none comes last), so a component's root names its class.
+    node, root = (F.struct(F.col(rep).isNull().alias("none"), F.col(rep).alias("rep"), F.col(key).alias("key")) for rep, key in (("rep", "key"), ("root_rep", "root")))
+    roots = components(found.select(node.alias("u"), root.alias("v"))).select(F.col("node.key").alias("key"), F.col("root.rep").alias("least"))
     known = records.select("key", "rep", "copies").join(links, "key", "left").join(roots, "key", "left")
-    known = written(known, "classes")
-    least = known.filter("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least"))
-    known = known.join(least, "root", "left").select("key", "rep", "copies", "n_links", F.coalesce("least", "rep").alias("least"))
+    known = known.select("key", "rep", "copies", "n_links", F.coalesce("least", "rep").alias("least"))
     return sketched.select("doc_id", "key").join(known, "key", "left").select(
         "doc_id",
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"),
