@@ -19,8 +19,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Texts that are handed to a Python worker at once, where the session keeps the engine's own 10,000.
-BATCH_ROWS = 1_000
+#: Rows of texts that are read from Parquet and handed to a Python worker at once, where the session keeps the engine's
+#: own numbers, which are made for rows of some bytes.
+SMALL_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
+}
 
 
 def let_workers_import(spark: SparkSession) -> None:
@@ -30,9 +34,9 @@ def let_workers_import(spark: SparkSession) -> None:
     paths = own.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         own["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(batch) == "10000":
-        spark.conf.set(batch, str(BATCH_ROWS))
+    for name, (usual, own_number) in SMALL_BATCHES.items():
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, own_number)
 
 
 def shared_folder(spark: SparkSession) -> str:

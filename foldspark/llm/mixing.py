@@ -10,6 +10,7 @@ small document, and which documents of a size are in it is decided by a seeded h
 
 Only the counts of a source's different sizes are ever in one task, and these are as many as its longest text has words
 at most.  Documents of one source and size are ranked in 256 cells of their hash; the number in the cells before is added.
+Sources themselves are ordered in one task, one row each.
 
 Defined results: null text or text without a word has size 0 and is taken 0 times; the null source is a source of its
 own, last in the order; repeated rows count one by one; an empty table gives an empty result; columns of any other name
