@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Chunks that one worker remembers, of some 230 bytes each.
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 450_000
 #: Longer chunks are not remembered.
 CACHE_CHARS = 64
 
@@ -103,16 +103,17 @@ class Encoder:
         """ids (uint32) of a text; none for null or an empty text."""
         if not text:
             return np.empty(0, "<u4")
-        chunks = text.split()
         if self._keeps_spaces:
-            # Each white space is a lone blank or line end between words: a blank belongs to the word after it.
-            if len(chunks) != 1 + text.count(" ") + text.count("\n") or not chunks or "\x00" in text:
+            # Each white space is a lone blank or line end between words (no other is printable): a blank belongs to the
+            # word after it.
+            flat = text.replace("\n", " ")
+            if "  " in flat or flat[0] == " " or flat[-1] == " " or not flat.isprintable():
                 return np.frombuffer(self._direct([text])[0], "<u4")
             chunks = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
             return np.frombuffer(self._look_up(chunks), "<u4")
         if _ODD_SPACE.search(text):
             return np.frombuffer(self._direct([text])[0], "<u4")
-        return np.frombuffer(self._look_up(chunks), "<u4")
+        return np.frombuffer(self._look_up(text.split()), "<u4")
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
