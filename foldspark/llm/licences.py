@@ -2,10 +2,10 @@
 
 Words are runs of characters other than ASCII marks and white space, A-Z lower-cased.  Each template is a short notice
 whose words are indexed by place.  The number of documents that hold each template word is counted over the whole
-table, and every template is represented by its ``RARE`` words of highest IDF.  In a file, the rare licence words of
-highest IDF (``LOOKED_UP`` different ones) are looked up wherever they stand; each posting votes, with its IDF, for
-the place where the template would have to begin.  A template that gathers ``SHARE`` of its IDF at one place is a
-candidate, and is reported if each of its mandatory key phrases stands in the text.
+table, and every template is represented by its ``RARE`` words of highest IDF.  In a file, every word of the index is
+looked up wherever it stands; each posting votes, with its IDF, for the place where the template would have to begin.
+A template that gathers ``SHARE`` of its IDF at one place is a candidate, and is reported if each of its mandatory key
+phrases stands in the text.  So a template that stands in the text word by word is found, however many others do.
 
 What is broadcast is the index of the templates: some hundred postings, whatever the corpus.  Nothing is shuffled but
 the document counts of the template words.  A file is read once for the counts and once for the scan.
@@ -17,7 +17,6 @@ scanned whole; repeated rows give repeated results; an empty table gives an empt
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +49,7 @@ TEMPLATES = {
 }
 #: Words of highest IDF that stand for a template.
 RARE = 6
-#: Different licence words of highest IDF that are looked up in a file.
+#: Different licence words of highest IDF that the SQL looks up in a file; the scan looks up all.
 LOOKED_UP = 12
 #: Share of a template's IDF that must agree on one place.
 SHARE = 0.7
@@ -94,32 +93,21 @@ def _postings(rare: dict[str, dict[str, float]]) -> dict[str, list[tuple[int, in
     return out
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once, even where a lambda refers to it for every element."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _candidates(words: Column, rare: dict[str, dict[str, float]]) -> Column:
     """array of (template, share of its IDF that agrees on one place), shares of SHARE and more."""
     postings = _postings(rare)
-    idf = {w: p[0][2] for w, p in postings.items()}
     entries = [
         F.struct(F.lit(w).alias("key"), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(place).cast("long").alias("at"), F.lit(x).alias("x")) for t, place, x in p]).alias("value"))
         for w, p in sorted(postings.items())
     ]
     index = F.map_from_entries(F.array(*entries))
-    by_idf = F.array(*[F.lit(w) for w, _ in sorted(idf.items(), key=lambda x: (-x[1], x[0]))])
+    indexed = F.array(*[F.lit(w) for w in sorted(postings)])
     totals = F.array(*[F.lit(sum(x.values())) for _, x in sorted(rare.items())])
-    placed = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.cast("long").alias("i"))), lambda p: F.array_contains(by_idf, p["w"]))
+    placed = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.cast("long").alias("i"))), lambda p: F.array_contains(indexed, p["w"]))
 
-    def votes_of(placed: Column) -> Column:
-        chosen = F.slice(F.array_intersect(by_idf, F.transform(placed, lambda p: p["w"])), 1, LOOKED_UP)
-        kept = _let(chosen, lambda c: F.filter(placed, lambda p: F.array_contains(c, p["w"])))
-        return F.flatten(
-            F.transform(kept, lambda p: F.transform(F.element_at(index, p["w"]), lambda e: F.struct(e["t"].alias("t"), (p["i"] - e["at"]).alias("at"), e["x"].alias("x"))))
-        )
-
-    votes = _let(placed, votes_of)
+    votes = F.flatten(
+        F.transform(placed, lambda p: F.transform(F.element_at(index, p["w"]), lambda e: F.struct(e["t"].alias("t"), (p["i"] - e["at"]).alias("at"), e["x"].alias("x"))))
+    )
     # Votes in order of template and place: a running sum, kept whenever it reaches the share.
     start = F.struct(F.lit(-1).alias("t"), F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("x"), F.lit(None).cast("array<struct<t:int,share:double>>").alias("found"))
 

@@ -82,3 +82,34 @@ def test_native_plan_and_empty_table(make, edge_rows):
     plan = S.scan(make(edge_rows))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
     assert S.scan(make(edge_rows).limit(0)).count() == 0
+
+
+def brute_whole(words, idf):
+    """Shares with the votes of every word of the index, in plain Python."""
+    found = {}
+    for k, (notice, phrases) in S.TEMPLATES.items():
+        notice, votes = notice.split(), {}
+        rare = sorted(set(notice), key=lambda w: (-idf[w], w))[: S.RARE]
+        for i, w in enumerate(words):
+            if w in rare:
+                votes[i - notice.index(w)] = votes.get(i - notice.index(w), 0) + idf[w]
+        best = max(votes.values(), default=0) / sum(idf[w] for w in rare)
+        if best >= S.SHARE - 1e-12 and all(f" {p} " in f" {' '.join(words)} " for p in phrases):
+            found[k] = min(best, 1.0)
+    return found
+
+
+def test_several_notices_in_one_text(make):
+    sets = [["mit-notice", "bsd", "apache-2.0"], ["bsd", "isc", "mit-notice", "unlicense", "gpl-3.0", "apache-2.0"], sorted(S.TEMPLATES)]
+    texts = [(" " + prose(7, 2000) + " ").join(S.TEMPLATES[k][0] for k in own) for own in sets]
+    texts.append(texts[0] + " " + " ".join(sorted({w for n, _ in S.TEMPLATES.values() for w in n.split()})))
+    rows = [(i, t) for i, t in enumerate([*texts, *[prose(300 + i, 60) for i in range(40)]])]
+    docs = [words_of(t) for _, t in rows]
+    idf = {w: math.log((len(docs) + 1) / (sum(w in d for d in docs) + 1)) + 1e-6 for n, _ in S.TEMPLATES.values() for w in n.split()}
+    found = {r["doc_id"]: r for r in S.scan(make(rows)).collect()}
+    for i, words in enumerate(docs):
+        method, base = brute_whole(words, idf), brute_base(rows[i][1])[-1]
+        assert found[i]["labels"] == ",".join(sorted({*filter(None, base.split(",")), *method}))
+        assert found[i]["score"] == pytest.approx(max(method.values(), default=0.0))
+    for i, own in enumerate([*sets, sets[0]]):
+        assert set(own) <= set(found[i]["labels"].split(","))
