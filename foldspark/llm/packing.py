@@ -1,14 +1,16 @@
 """Best-fit packing by a configuration linear program over the length histogram.
 
 Pieces (documents' token ids with an end id, cut at the capacity) differ for packing by their length alone, so the whole
-problem is a histogram of at most ``capacity`` lengths.  Lengths of ``SMALL`` and more are grouped into ``GROUPS``
-groups of like volume at most (one a length, for a capacity of 2048), and each counts as the longest of its group.  The configuration linear program asks for the
+problem is a histogram of at most ``capacity`` lengths.  Lengths are grouped into ``GROUPS`` groups of like volume at
+most (one a length, for a capacity of 2048), and each counts as the longest of its group.  The configuration linear program asks for the
 fewest sequences x_c of configurations c that cover every group's count.  It is solved by multiplicative weights: each
 round prices a group by its weight, finds the configuration of highest price by dynamic programming over the capacity,
 uses it for a share of the sequences, and lowers the weights of the groups it holds.  The best round's prices, scaled to
 be feasible, bound the program's value from below.  The fractional solution is rounded down and the rest solved again, a
-few times.  The places of a configuration are then given to real lengths of their groups, and what is left, the small
-lengths above all, is placed longest first where the least fitting room remains.
+few times.  The places of a configuration are then given to real lengths of their groups, and what is left is placed
+longest first where the least fitting room remains.  Where lengths are many and none is frequent, short pieces do more
+good in the room that the others leave: so the program is also solved without a usual number of each length below
+``SMALL``, and without those lengths, and the plan of fewest sequences is taken.
 
 The plan is a list of (configuration, number of sequences) whose size depends on the capacity and the rounds, not on the
 corpus.  Pieces find their places by their rank among the pieces of their length: ranks are counted in cells of a hash
@@ -35,7 +37,7 @@ from .tokens import encoder, vocabulary_path
 
 CAPACITY = 2048
 END_ID = 0
-#: Shorter lengths are no part of the linear program; they fill what room it leaves.
+#: Pieces of shorter lengths may be kept out of a program, to fill what room it leaves.
 SMALL = 512
 GROUPS = 2048
 #: Rounds of multiplicative weights for the whole histogram, and for each rest.
@@ -50,15 +52,19 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def best_configuration(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
     """Counts of the lengths in the configuration of highest price: an unbounded knapsack over the capacity."""
-    value, chosen = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        n = int(np.searchsorted(lengths, room, "right"))
-        value[room] = value[room - 1]
-        if n:
-            sums = value[room - lengths[:n]] + prices[:n]
-            best = int(sums.argmax())
-            if sums[best] > value[room]:
-                value[room], chosen[room] = sums[best], best
+    # Backwards, so that what is left of a room by each length is one run: value[capacity - room + length].
+    value, chosen = np.zeros(capacity + 1), [-1] * (capacity + 1)
+    priced, place = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, np.int64)
+    priced[lengths], place[lengths] = prices, np.arange(len(lengths))
+    shortest = int(lengths[0])
+    sums, before = np.empty(capacity + 1), 0.0
+    for room in range(shortest, capacity + 1):
+        own = sums[: room - shortest + 1]
+        np.add(value[capacity - room + shortest :], priced[shortest : room + 1], out=own)
+        best = own.argmax()
+        if own[best] > before:
+            before, chosen[room] = own[best], int(place[shortest + best])
+        value[capacity - room] = before
     counts, room = np.zeros(len(lengths), np.int64), capacity
     while room > 0:
         if chosen[room] < 0:
@@ -176,14 +182,13 @@ def _filled(uses: list[tuple[np.ndarray, int]], queues: list[list[list[int]]]) -
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Sequences for a histogram of lengths."""
-    volume = sum(x * n for x, n in histogram.items()) / capacity
-    whole = Counter({k: n for k, n in histogram.items() if n and k < capacity})
-    large = Counter({k: n for k, n in whole.items() if k >= min(SMALL, capacity)})
-    groups = grouped(large, GROUPS)
+def _programmed(whole: Counter, kept: Counter, capacity: int) -> tuple[Counter, float]:
+    """Sequences for a histogram of lengths below the capacity, and the program's bound.  The program has all pieces but
+    those of ``kept``, which fill the room that is left, with what rounding leaves."""
+    own_part = whole - kept
+    groups = grouped(own_part, GROUPS)
     values = np.array([g[-1] for g in groups])
-    left = np.array([sum(large[x] for x in g) for g in groups])
+    left = np.array([sum(own_part[x] for x in g) for g in groups])
     uses: Counter = Counter()
     program = 0.0
     for step in range(1 + RESTS):
@@ -206,12 +211,32 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
                 uses[tuple(own.tolist())] += used
         if left.sum() > 0.95 * before:
             break
-    queues = [[[x, large[x]] for x in g] for g in groups]
+    queues = [[[x, own_part[x]] for x in g] for g in groups]
     begun = _filled([(np.array(c), n) for c, n in sorted(uses.items())], queues)
-    rest = Counter({x: n for x, n in whole.items() if x not in large})
+    rest = Counter(kept)
     for queue in queues:
         rest.update({x: n for x, n in queue if n})
-    bins = best_fit(rest, capacity, begun)
+    return best_fit(rest, capacity, begun), program
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Sequences for a histogram of lengths: the fewest of three programs, of all pieces; of all but a usual number of each
+    length below ``SMALL``; and of the lengths from ``SMALL`` on.  The later ones are left out where one before is as
+    good as any can be."""
+    volume = sum(x * n for x, n in histogram.items()) / capacity
+    whole = Counter({k: n for k, n in histogram.items() if n and k < capacity})
+    least = max(-(-sum(x * n for x, n in whole.items()) // capacity), sum(n for x, n in whole.items() if 2 * x > capacity))
+    small = Counter({k: n for k, n in whole.items() if k < SMALL})
+    usual = int(np.median(list(small.values()))) if small else 0
+    bins: Counter | None = None
+    program = 0.0
+    for kept in (Counter(), Counter({k: min(n, usual) for k, n in small.items()}), small):
+        if bins is not None and (not kept or bins.total() <= least):
+            break
+        found, bound = _programmed(whole, kept, capacity)
+        program = program or bound
+        if bins is None or found.total() < bins.total():
+            bins = found
     if histogram.get(capacity):
         bins[(capacity,)] += histogram[capacity]
     return Plan(sorted(bins.items()), volume, program)

@@ -51,6 +51,17 @@ def test_plan_holds_every_length_once_and_is_tight(seed):
     assert made.sequences <= 1.01 * floor + 2
 
 
+@pytest.mark.parametrize("histogram, sequences", [({500: 1000, 387: 4000}, 1000), ({500: 10, 387: 40}, 10)])
+def test_short_lengths_are_part_of_the_program(histogram, sequences):
+    made = P.plan(histogram)
+    held = Counter()
+    for contents, n in made.bins:
+        assert n > 0 and sum(contents) <= 2048
+        held.update({x: n * times for x, times in Counter(contents).items()})
+    assert held == Counter(histogram) and made.program >= 0.97 * made.volume
+    assert made.sequences <= 1.005 * sequences
+
+
 def test_knapsack_equals_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(20):
