@@ -3,7 +3,8 @@
 Both vocabularies split a text at white space before any merge is made, so the ids of a text are the ids of its
 white-space chunks in order.  Most chunks are repeated words: each worker keeps the ids of the chunks it has met (at
 most ``CACHE_CHUNKS``; rarer ones are simply encoded again) and the library encodes only the others.  Texts whose
-white space or control characters could make a chunk depend on its neighbours go to the library whole.
+white space or control characters could make a chunk depend on its neighbours go to the library whole, and so do texts
+that hold the string of an added token (an end mark, say), which the library cuts out before anything else.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._added = [token.content for token in self._tokenizer.get_added_tokens_decoder().values()]
         self._keeps_spaces = keeps_spaces
         self._model = self._tokenizer.model
         self._known = _Chunks(self._chunk, most)
@@ -103,6 +104,8 @@ class Encoder:
         """ids (uint32) of a text; none for null or an empty text."""
         if not text:
             return np.empty(0, "<u4")
+        if any(mark in text for mark in self._added):
+            return np.frombuffer(self._direct([text])[0], "<u4")
         if self._keeps_spaces:
             # Each white space is a lone blank or line end between words (no other is printable): a blank belongs to the
             # word after it.

@@ -12,7 +12,7 @@ from foldspark.llm.tokens import Encoder, vocabulary_path
 VOCABULARY = vocabulary_path("byte_bpe_50k.json")
 ODD = [
     "a b", "a\nb", " a", "a ", "a\n", "\na", "a  b", "a\n\nb", "a \nb", "a\n b", "it's 5,000 no.\nNext one", "\x1ca b", "a\x85b", "a b", "a​b", "É é é ́x", "<|endoftext|> x",
-    "x<|startoftext|>", "", "'s 't", "a'\nb", "x\x00y z", "日本語 です\nか", "\U0001f600 a", "ÿz É. À! Éa?b", "ß ẞ", "ÀB c", "a " + "x" * 200, "x" * 100 + ".", "Ω Å K",
+    "x<|startoftext|>", "x<|startoftext|>y <|endoftext|><|endoftext|>.", "<|endoftext|>\na", "A b<|endoftext|>É c", "", "'s 't", "a'\nb", "x\x00y z", "日本語 です\nか", "\U0001f600 a", "ÿz É. À! Éa?b", "ß ẞ", "ÀB c", "a " + "x" * 200, "x" * 100 + ".", "Ω Å K",
 ]
 
 
@@ -21,7 +21,6 @@ def test_cached_encoding_equals_the_library(name, keeps_spaces):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(vocabulary_path(name))
-    library.encode_special_tokens = True
     own = Encoder(vocabulary_path(name), keeps_spaces)
 
     @settings(max_examples=150, deadline=None)

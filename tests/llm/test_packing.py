@@ -12,7 +12,6 @@ def reference_ids(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
