@@ -85,8 +85,29 @@ def test_program_bounds_from_below():
     assert P.plan({}, 25).sequences == 0 and P.plan({25: 3}, 25).sequences == 3 and P.plan({1: 1}, 25).sequences == 1
 
 
-def test_equal_lengths_are_ranked_over_cells(make):
-    rows = P.pack(make([(i, "same words in all of them") for i in range(2000)]), vocabulary_path("word_bpe_49k.json")).toPandas()
-    assert rows.groupby("sequence_id")["length"].sum().max() <= 2048
-    assert not rows.duplicated(["sequence_id", "offset"]).any()
-    assert rows["sequence_id"].nunique() == -(-2000 // (2048 // int(rows["length"].iloc[0])))
+@pytest.mark.parametrize("seed", range(6))
+def test_never_more_sequences_than_plain_best_fit(seed):
+    rng = np.random.default_rng(100 + seed)
+    lengths = [
+        rng.integers(300, 1400, 900), np.clip(rng.lognormal(5, 1.5, 3000), 1, 2048), rng.choice([700, 690, 680, 640, 77], 800),
+        np.r_[np.full(900, 1100), rng.integers(1, 900, 900)], rng.integers(1, 40, 5000), rng.integers(1020, 1030, 200),
+    ][seed].astype(int)
+    histogram = Counter(lengths.tolist())
+    made = P.plan(dict(histogram))
+    held: Counter = Counter()
+    for contents, n in made.bins:
+        held.update({x: n * times for x, times in Counter(contents).items()})
+    assert held == histogram and made.sequences >= made.volume
+    plain = P.best_fit(Counter({k: n for k, n in histogram.items() if k < 2048}), 2048).total() + histogram[2048]
+    assert made.sequences <= plain
+    if seed == 0:
+        assert made.sequences < plain and made.configured > 0.9 * made.sequences
+
+
+def test_equal_lengths_are_ranked_over_cells(make, monkeypatch):
+    monkeypatch.setattr(P, "PER_CELL", 100)
+    for ids in (range(2000), [None] * 2000):
+        rows = P.pack(make([(i, "same words in all of them") for i in ids]), vocabulary_path("word_bpe_49k.json")).toPandas()
+        assert rows.groupby("sequence_id")["length"].sum().max() <= 2048
+        assert not rows.duplicated(["sequence_id", "offset"]).any()
+        assert rows["sequence_id"].nunique() == -(-2000 // (2048 // int(rows["length"].iloc[0])))
