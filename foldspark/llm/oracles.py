@@ -13,8 +13,8 @@ def _rows(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(_text(x) if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
 
 
-_NOTICES = [(label, i, word) for label, (notice, _) in sorted(licences.TEMPLATES.items()) for i, word in enumerate(notice.split())]
-_PHRASES = [(label, phrase) for label, (_, phrases) in sorted(licences.TEMPLATES.items()) for phrase in phrases]
+_NOTICES = [(t, label, i, word) for t, (label, notice, _) in enumerate(licences.TEMPLATES) for i, word in enumerate(notice)]
+_PHRASES = [(t, phrase) for t, (_, _, phrases) in enumerate(licences.TEMPLATES) for phrase in phrases]
 _BASE = [(phrase, label, len(phrase.split())) for phrase, label in licences.BASE.items()]
 
 LICENCES = f"""
@@ -29,29 +29,25 @@ places AS (
   SELECT s.rid, base.label, unnest(list_filter(range(len(w)), lambda i: array_to_string(w[i + 1:i + size], ' ') = phrase)) AS i
   FROM s, base WHERE contains(spaced, ' ' || phrase || ' ')),
 based AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS found FROM places GROUP BY rid),
-notice(label, place, word) AS (VALUES {_rows(_NOTICES)}),
-phrase(label, phrase) AS (VALUES {_rows(_PHRASES)}),
+notice(t, label, place, word) AS (VALUES {_rows(_NOTICES)}),
+phrase(t, phrase) AS (VALUES {_rows(_PHRASES)}),
 vocabulary AS (SELECT DISTINCT word FROM notice),
 counted AS (
   SELECT v.word, ln((SELECT count(*) + 1 FROM d) / (count(DISTINCT words.rid) + 1)) + 1e-6 AS idf
   FROM vocabulary v LEFT JOIN words USING (word) GROUP BY v.word),
 rare AS (
-  SELECT label, word, place, idf FROM (
-    SELECT label, word, min(place) AS place, idf, row_number() OVER (PARTITION BY label ORDER BY idf DESC, word) AS n
-    FROM notice JOIN counted USING (word) GROUP BY label, word, idf) WHERE n <= {licences.RARE}),
-looked_up AS (
-  SELECT rid, word FROM (
-    SELECT rid, word, row_number() OVER (PARTITION BY rid ORDER BY idf DESC, word) AS n
-    FROM (SELECT DISTINCT rid, word FROM words WHERE word IN (SELECT word FROM rare)) JOIN counted USING (word)) WHERE n <= {licences.LOOKED_UP}),
+  SELECT t, label, word, place, idf FROM (
+    SELECT t, label, word, min(place) AS place, idf, row_number() OVER (PARTITION BY t ORDER BY idf DESC, word) AS n
+    FROM notice JOIN counted USING (word) GROUP BY t, label, word, idf) WHERE n <= {licences.RARE}),
 votes AS (
-  SELECT rid, label, words.i - rare.place AS begins, sum(rare.idf) AS x
-  FROM words JOIN looked_up USING (rid, word) JOIN rare USING (word) GROUP BY ALL),
+  SELECT rid, t, label, words.i - rare.place AS begins, sum(rare.idf) AS x
+  FROM words JOIN rare USING (word) GROUP BY ALL),
 candidates AS (
-  SELECT rid, label, least(max(x) / (SELECT sum(idf) FROM rare r WHERE r.label = votes.label), 1.0) AS share FROM votes GROUP BY rid, label),
+  SELECT rid, t, label, least(max(x) / (SELECT sum(idf) FROM rare r WHERE r.t = votes.t), 1.0) AS share FROM votes GROUP BY rid, t, label),
 verified AS (
   SELECT rid, label, share FROM candidates JOIN s USING (rid)
-  WHERE share >= {licences.SHARE} - 1e-12 AND (SELECT bool_and(contains(spaced, ' ' || p.phrase || ' ')) FROM phrase p WHERE p.label = candidates.label)),
-method AS (SELECT rid, list(label) AS found, max(share) AS score FROM verified GROUP BY rid)
+  WHERE share >= {licences.SHARE} - 1e-12 AND (SELECT bool_and(contains(spaced, ' ' || p.phrase || ' ')) FROM phrase p WHERE p.t = candidates.t)),
+method AS (SELECT rid, list(DISTINCT label) AS found, max(share) AS score FROM verified GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   array_to_string(list_sort(coalesce(b.found, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(b.found, []), coalesce(m.found, [])))), ',') AS labels, round(coalesce(score, 0.0), 6) AS score
