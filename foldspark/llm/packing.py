@@ -49,7 +49,7 @@ RESTS = 4
 #: How fast weights fall.
 RATE = 0.3
 #: Pieces of one length that are ranked together, about.
-PER_CELL = 1 << 15
+PER_CELL = 1 << 11
 #: Chunks that one worker remembers.
 REMEMBERED = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
