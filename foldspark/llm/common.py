@@ -64,6 +64,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def as_row(docs: DataFrame) -> DataFrame:
+    """The columns of docs in one struct named ``row``: names that an operator adds beside it clash with none of theirs."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+
+
 def words_in(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -1,26 +1,32 @@
 """N-gram Jaccard self-join by chosen paths.
 
-Texts are sets of five-word shingles.  Equal sets are one record.  Each record has a sketch of ``SKETCH`` minimum
-hashes, which are its tokens: two records share a token at a coordinate with the probability of their similarity.
+Texts are sets of five-word shingles.  Equal sets are one record.  Each record has a sketch: at each of ``SKETCH`` random
+orders, 32 bits of its least shingle, which are its tokens.  Two records share a token at a coordinate with the
+probability of their similarity.
 
 A run sends each record along the tree of chosen paths.  The first step splits all records by their token at the run's
-coordinate.  A node with more than ``SMALL`` records is split again at two coordinates drawn by its own hash, up to
-``DEPTH`` times; its records go both ways, so that similar ones are unlikely to be parted.  Smaller nodes are leaves, and so
-are nodes that a coordinate leaves mostly whole (``WHOLE``): their records are alike, and splitting only repeats them.
-As many runs are made as the target recall asks for at the threshold (``runs_for``).
-
-Every pair is compared in one leaf only: the least one that both records have reached.  Leaves are compared in blocks of
-``SMALL`` records, so a leaf that cannot be split (thousands of near copies) is many tasks.  Sketches rule out pairs far
-below the threshold (four standard errors); what is left is held against the shingle sets, exactly.  Blocks return the
-number of links of each record and a star for each group of linked records, not pairs; the stars' components are the
-groups of near duplicates.  ``linked_pairs`` returns the pairs themselves.
-
-Only rows of 8 to 300 bytes are shuffled for all records; texts are shuffled once, and shingle sets only of records
-that have a likely partner.  Nothing of the corpus is brought to the driver or broadcast.
-
-Defined results: null texts and texts without a word are classes of their own without links; equal sets are copies of
-one class; a null doc_id is carried, and a class of null ids alone has a null class id; repeated rows are copies; an
-empty table gives an empty result; other columns are ignored (kept by ``one_of_each``).
+coordinate (64 bits there, so that strangers do not meet however many records there are).  A node with more than ``SMALL``
+records is split again at two coordinates drawn by its own hash, up to ``DEPTH`` times; its records go both ways, so that
+similar ones are unlikely to be parted.  Smaller nodes are leaves, and so are nodes that a coordinate leaves mostly whole
+(``WHOLE``): their records are alike, and splitting only repeats them.  As many runs are made as the target recall asks
+for at the threshold (``runs_for``); an error is raised if the sketch has not that many coordinates.
+
+Every pair is compared in one leaf only: the least one that both records have reached.  Leaves of more than ``SMALL``
+records are compared in blocks of ``BLOCK``, so a leaf that cannot be split (thousands of near copies) is many tasks; the
+comparisons in it grow with its square, as every link counts.  Sketches rule out pairs far below the threshold; their
+chance of ruling out a pair at the threshold is part of the target recall (``least_agreement``).  What is left is held
+against the shingle sets, exactly.  Blocks return the number of links of each record and a star for each group of linked
+records, not pairs; the stars' components are the groups of near duplicates.  ``linked_pairs`` returns the pairs themselves.
+
+Only rows of 8 to 400 bytes are shuffled for all records; texts are shuffled once, and shingle sets only of records
+that have a likely partner.  Nothing of the corpus is brought to the driver.  Broadcast are at most ``HOT`` records: those
+that have more than a ``HOT``-th of all rows as copies.
+
+Defined results: null texts and texts without a word are classes of their own without links, and all stay in
+``one_of_each``; equal sets are copies of one class; a null doc_id is carried, and a class of null ids alone has a null
+class id (``one_of_each`` keeps one row of it, like of any other class); rows of one doc_id and different texts are
+different documents; repeated rows are copies; an empty table gives an empty result; columns of any other name are ignored
+(kept by ``one_of_each``).
 """
 
 from __future__ import annotations
@@ -31,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import as_row, documents, written
 from .components import components
 from .shingles import mixed, shingle_set
 
@@ -42,8 +48,10 @@ THRESHOLD = 0.8
 RECALL = 0.99999
 SKETCH = 64
 SMALL = 512
+BLOCK = 1024
 DEPTH = 3
 WHOLE = 0.5
+HOT = 1000
 #: Rows of leaves that one call compares.
 TOGETHER = 4_000
 
@@ -52,39 +60,63 @@ _B = mixed(np.arange(1001, SKETCH + 1001, dtype=np.uint64))
 
 
 def runs_for(recall: float, threshold: float) -> int:
-    """Runs after which a pair at the threshold is found with this probability, even if every node is split DEPTH times."""
+    """Runs after which a pair at the threshold has met with this probability, even if every node is split DEPTH times.
+    As much again may be lost to the sketches, so each has half of what the recall allows."""
     kept = threshold * (1 - (1 - threshold) ** 2) ** DEPTH
-    return min(SKETCH // 4, max(1, math.ceil(math.log(1 - recall) / math.log(1 - kept))))
+    runs = max(1, math.ceil(math.log((1 - recall) / 2) / math.log(1 - kept))) if kept < 1 else 1
+    if runs > SKETCH:
+        raise ValueError(f"a recall of {recall} at a threshold of {threshold} needs {runs} runs, and a sketch has {SKETCH} coordinates")
+    return runs
 
 
-def sketch_of(shingles: np.ndarray) -> np.ndarray:
-    """SKETCH minimum hashes of 32 bits."""
-    least = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint64)
+def least_agreement(recall: float, threshold: float) -> int:
+    """The most coordinates that may be asked to agree: fewer agree at the threshold in half of the cases that the recall allows to lose."""
+    below = 0.0
+    for agree in range(SKETCH + 1):
+        below += math.comb(SKETCH, agree) * threshold**agree * (1 - threshold) ** (SKETCH - agree)
+        if below > (1 - recall) / 2:
+            return agree
+    return SKETCH
+
+
+def least_shingles(shingles: np.ndarray) -> np.ndarray:
+    """The least value of each of SKETCH random orders (64 bits)."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(shingles), 4096):
-        least = np.minimum(least, ((shingles[a : a + 4096] * _A[:, None] + _B[:, None]) >> np.uint64(32)).min(1))
-    return least.astype(np.uint32).view(np.int32)
+        least = np.minimum(least, (shingles[a : a + 4096] * _A[:, None] + _B[:, None]).min(1))
+    return least
+
+
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH tokens of 32 bits."""
+    return mixed(least_shingles(shingles)).astype(np.uint32).view(np.int32)
 
 
 def signature_of(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        keys, sizes, sketches = [], [], []
-        for text in batch["text"]:
-            shingles = shingle_set(text)
-            keys.append(signature_of(shingles) if len(shingles) else None)
-            sizes.append(len(shingles))
-            sketches.append(sketch_of(shingles) if len(shingles) else None)
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "key": keys, "n": sizes, "sketch": sketches})
+def _sketches(runs: int):
+    order = np.arange(1, runs + 1, dtype=np.uint64) << np.uint64(32)
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, sketches, roots = [], [], []
+            for text in batch["text"]:
+                shingles = shingle_set(text)
+                least = least_shingles(shingles) if len(shingles) else None
+                keys.append(None if least is None else signature_of(shingles))
+                sketches.append(None if least is None else mixed(least).astype(np.uint32).view(np.int32))
+                roots.append(None if least is None else mixed(least[:runs] ^ order).view(np.int64))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "a": batch["a"], "b": batch["b"], "key": keys, "sketch": sketches, "roots": roots})
+
+    return made
 
 
-def _leaves(records: DataFrame, runs: int) -> DataFrame:
+def _leaves(records: DataFrame) -> DataFrame:
     """(key, leaf, size): leaves of two records and more."""
     sketches = records.select("key", "sketch")
-    roots = F.explode(F.array(*[F.xxhash64(F.lit(r), F.element_at("sketch", r + 1)) for r in range(runs)]))
-    rows = written(sketches.select("key", roots.alias("node")), "paths")
+    rows = written(records.select("key", F.explode("roots").alias("node")), "paths")
     # Counts first: most nodes hold one record, and go no further.
     nodes = written(rows.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "node"), "nodes")
     found = nodes.filter(F.col("size") <= SMALL)
@@ -109,7 +141,8 @@ def _blocks(leaves: DataFrame) -> DataFrame:
     """(key, leaf, left, right, side, bin): blocks of a leaf meet in pairs; side is 0, 1, or 2 for a block that meets
     itself.  Small leaves share a bin, each pair of blocks of a large one has its own."""
     bins = max(1, leaves.count() // TOGETHER)
-    rows = leaves.withColumn("blocks", F.ceil(F.col("size") / SMALL).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = leaves.withColumn("blocks", F.when(F.col("size") <= SMALL, 1).otherwise(F.ceil(F.col("size") / min(BLOCK, 2 * SMALL))).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     rows = rows.select("key", "leaf", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), side.alias("side"), "blocks")
@@ -160,21 +193,14 @@ def _likely(sketches: np.ndarray, leaf: int, reached: list[np.ndarray], side: np
     return left, right
 
 
-def _least_agreement(threshold: float) -> int:
-    """Coordinates in which a pair at the threshold agrees but for a chance of four standard errors."""
-    return math.floor(SKETCH * threshold - 4 * math.sqrt(SKETCH * threshold * (1 - threshold)))
-
-
-def _candidates(threshold: float):
-    least = _least_agreement(threshold)
-
+def _candidates(least: int):
     def found(rows: pd.DataFrame) -> pd.DataFrame:
         sketches, reached, side = np.stack(rows["sketch"].to_list()), rows["reached"].to_list(), rows["side"].to_numpy()
         own = []
         for leaf, part in _groups(rows):
             left, right = _likely(sketches[part], leaf, [reached[i] for i in part], side[part], least)
             own.append(part[np.union1d(left, right)] if len(left) else part[:0])
-        return rows.iloc[np.concatenate(own)][["key", "rep", "leaf", "left", "right", "side", "bin", "reached"]]
+        return rows.iloc[np.concatenate(own)][["key", "rep", "a", "b", "leaf", "left", "right", "side", "bin", "reached"]]
 
     return found
 
@@ -212,9 +238,7 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _verified(threshold: float, pairs: bool):
-    least = _least_agreement(threshold)
-
+def _verified(threshold: float, least: int, pairs: bool):
     def found(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["key", "leaf", "left", "right"], ignore_index=True)
         every = [np.frombuffer(s, "<u8") for s in rows["shingles"]]
@@ -252,44 +276,64 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[[signature_of(s) == bytes(k) for s, k in zip(sets, batch["key"], strict=True)]]
 
 
+def _identity(doc_id: Column, text: Column) -> list[Column]:
+    """Two independent hashes of a row's id and text, neither null."""
+    return [F.xxhash64(F.lit(name), doc_id, text).alias(name) for name in ("a", "b")]
+
+
 def _join(docs: DataFrame, text: str, doc_id: str, threshold: float, recall: float, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sketches of all rows, records (key, rep, copies), and what the blocks return."""
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    sketched = written(rows.mapInPandas(_sketches, "doc_id long, key binary, n int, sketch array<int>"), "sketches")
-    records = sketched.filter("key IS NOT NULL").groupBy("key")
-    records = written(records.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")), "records")
-    leaves = written(_leaves(records, runs_for(recall, threshold)), "leaves")
+    """Sketches of all rows, records (key, rep, a, b, copies), and what the blocks return."""
+    runs, least = runs_for(recall, threshold), least_agreement(recall, threshold)
+    own_id = docs[doc_id].cast("long")
+    rows = docs.select(own_id.alias("doc_id"), *_identity(own_id, docs[text]), docs[text].alias("text"))
+    sketched = written(rows.mapInPandas(_sketches(runs), "doc_id long, a long, b long, key binary, sketch array<int>, roots array<long>"), "sketches")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")).alias("rep")
+    records = sketched.filter("key IS NOT NULL").groupBy("key").agg(rep, F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots"))
+    records = written(records.select("key", F.col("rep.doc_id").alias("rep"), "rep.a", "rep.b", "copies", "sketch", "roots"), "records")
+    leaves = written(_leaves(records), "leaves")
     reached = leaves.groupBy("key").agg(F.collect_set("leaf").alias("reached"))  # runs * 2 ** DEPTH at most
-    described = reached.join(records.select("key", "rep", "sketch"), "key")
+    described = reached.join(records.select("key", "rep", "a", "b", "sketch"), "key")
     likely = (
         _blocks(leaves).join(described, "key").groupBy("bin")
-        .applyInPandas(_candidates(threshold), "key binary, rep long, leaf long, left int, right int, side int, bin long, reached array<long>")
+        .applyInPandas(_candidates(least), "key binary, rep long, a long, b long, leaf long, left int, right int, side int, bin long, reached array<long>")
     )
     likely = written(likely, "likely")
-    wanted = likely.select("key", "rep").distinct()
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text")
-    sets = texts.mapInPandas(_sets, "key binary, shingles binary")
+    texts = rows.join(likely.select("key", "a", "b").distinct(), ["a", "b"]).select("key", "text")
+    # Repeated rows give one set a key.
+    sets = texts.mapInPandas(_sets, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
     schema = "a binary, b binary, jaccard double" if pairs else "key binary, rep long, links long, root binary, root_rep long"
-    return sketched, records, likely.join(sets, "key").groupBy("bin").applyInPandas(_verified(threshold, pairs), schema)
+    return sketched, records, likely.drop("a", "b").join(sets, "key").groupBy("bin").applyInPandas(_verified(threshold, least, pairs), schema)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row a document: doc_id, class_id (least doc_id of its group of near duplicates), copy_id (least doc_id with an
-    equal set), n_copies (rows with an equal set, itself too), n_links (other sets at the threshold or above)."""
+def _classes(docs: DataFrame, text: str, doc_id: str, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and records (key, rep, a, b, copies, n_links, lead), where lead is the first node of the class: (no id?, rep, key)."""
     sketched, records, found = _join(docs, text, doc_id, threshold, recall, pairs=False)
     found = written(found, "links")
     links = found.groupBy("key").agg(F.sum("links").alias("n_links"))
     # Nodes are ordered by their least doc_id (none comes last), so a component's root names its class.
-    node, root = (F.struct(F.col(rep).isNull().alias("none"), F.col(rep).alias("rep"), F.col(key).alias("key")) for rep, key in (("rep", "key"), ("root_rep", "root")))
-    roots = components(found.select(node.alias("u"), root.alias("v"))).select(F.col("node.key").alias("key"), F.col("root.rep").alias("least"))
-    known = records.select("key", "rep", "copies").join(links, "key", "left").join(roots, "key", "left")
-    known = known.select("key", "rep", "copies", "n_links", F.coalesce("least", "rep").alias("least"))
-    return sketched.select("doc_id", "key").join(known, "key", "left").select(
+    node, root, own = (F.struct(F.col(rep).isNull().alias("none"), F.col(rep).alias("rep"), F.col(key).alias("key")) for rep, key in (("rep", "key"), ("root_rep", "root"), ("rep", "key")))
+    roots = components(found.select(node.alias("u"), root.alias("v"))).select(F.col("node.key").alias("key"), F.col("root").alias("lead"))
+    known = records.select("key", "rep", "a", "b", "copies").join(links, "key", "left").join(roots, "key", "left")
+    return sketched, known.withColumn("lead", F.coalesce("lead", own))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row a document: doc_id, class_id (least doc_id of its group of near duplicates), copy_id (least doc_id with an
+    equal set), n_copies (rows with an equal set, itself too), n_links (other sets at the threshold or above)."""
+    sketched, known = _classes(docs, text, doc_id, threshold, recall)
+    known = written(known.select("key", F.struct("rep", "copies", "n_links", F.col("lead.rep").alias("least")).alias("known")), "classes")
+    # Rows of a text that has very many copies do not go to one task: such texts are few, and broadcast.
+    often = sketched.count() // HOT
+    hot = known.filter(F.col("known.copies") > often)
+    rows = sketched.select("doc_id", "key").join(F.broadcast(hot.withColumnRenamed("known", "hot")), "key", "left")
+    rest = rows.filter("hot IS NULL").drop("hot").join(known.filter(F.col("known.copies") <= often), "key", "left")
+    rows = rows.filter("hot IS NOT NULL").withColumnRenamed("hot", "known").unionByName(rest)
+    return rows.select(
         "doc_id",
-        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"),
-        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("rep")).alias("copy_id"),
-        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("known.least")).alias("class_id"),
+        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("known.rep")).alias("copy_id"),
+        F.coalesce("known.copies", F.lit(1)).cast("long").alias("n_copies"),
+        F.coalesce("known.n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
@@ -302,11 +346,14 @@ def linked_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", th
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """docs with one document of each group of near duplicates, that of least doc_id; rows without an id stay."""
-    found = near_duplicates(docs.filter(docs[doc_id].isNotNull()), text, doc_id, threshold, recall)
-    kept = found.filter("doc_id = class_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    known = docs.join(kept, docs[doc_id].cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates([doc_id, text])
-    return known.unionByName(docs.filter(docs[doc_id].isNull()))
+    """docs with one row of each group of near duplicates, that of least doc_id; rows without a word all stay."""
+    sketched, known = _classes(docs, text, doc_id, threshold, recall)
+    leaders = known.filter(F.col("lead.key") == F.col("key")).select("a", "b", F.lit(True).alias("leads"))
+    wordless = sketched.filter("key IS NULL").select("a", "b", F.lit(False).alias("leads")).distinct()
+    rows = as_row(docs)
+    own_id = F.col("row")[doc_id].cast("long")
+    rows = rows.select(*_identity(own_id, F.col("row")[text]), "row").join(leaders.unionAll(wordless), ["a", "b"])
+    return rows.filter("leads").dropDuplicates(["a", "b"]).unionAll(rows.filter("NOT leads")).select("row.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

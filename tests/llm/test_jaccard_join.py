@@ -101,7 +101,7 @@ def test_edges(make, edge_rows):
         assert (by_id[i]["class_id"], by_id[i]["n_copies"], by_id[i]["n_links"]) == (i, 1, 0)
     kept = J.one_of_each(make(edge_rows))
     ids = sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x))
-    assert ids == [1, 2, 3, 4, 6, 7, 8, 9, 10, 11, None, None]
+    assert ids == [1, 2, 3, 4, 6, 7, 8, 9, 10, 11, None, None]  # one of null id has no text
     empty = make(edge_rows).limit(0)
     assert J.near_duplicates(empty).count() == 0 and J.one_of_each(empty).count() == 0 and J.linked_pairs(empty).count() == 0
 
@@ -116,8 +116,42 @@ def test_shingles_equal_brute_force():
 
 
 def test_recall_sets_the_runs():
-    assert J.runs_for(0.9, 0.8) < J.runs_for(0.999, 0.8) <= J.SKETCH // 4
+    assert J.runs_for(0.9, 0.8) < J.runs_for(0.999, 0.8) <= J.SKETCH
     assert J.runs_for(0.999, 0.95) < J.runs_for(0.999, 0.8)
+    with pytest.raises(ValueError, match="runs"):
+        J.runs_for(0.99999, 0.3)
+
+
+def test_recall_counts_the_sketches():
+    import numpy as np
+
+    for recall, threshold in ((0.99999, 0.8), (0.99, 0.5), (0.999, 0.9)):
+        least = J.least_agreement(recall, threshold)
+        drawn = np.random.default_rng(1).binomial(J.SKETCH, threshold, 400_000)
+        assert (drawn < least).mean() <= (1 - recall) / 2 + 1e-4 < (drawn < least + 3).mean() + 1e-3
+        kept = threshold * (1 - (1 - threshold) ** 2) ** J.DEPTH
+        assert (1 - kept) ** J.runs_for(recall, threshold) <= (1 - recall) / 2
+
+
+def test_many_null_ids_stay_linear(make):
+    rows = [(None, varied(k, prose(77, 80), 1)) for k in range(150)] + [(None, prose(78, 60))] * 3000 + [(None, prose(78, 60) + " end")] * 2
+    docs = make(rows)
+    found = J.near_duplicates(docs).collect()
+    assert len(found) == len(rows) and all(r["class_id"] is None for r in found)
+    assert J.one_of_each(docs).count() == 2
+    plan = docs.select(*J._identity(docs["doc_id"], docs["text"]), "text").distinct()
+    assert plan.select("a", "b").distinct().count() == 152  # what the join on texts goes by tells null ids apart
+    reps, links, root = truth(list(enumerate(t for _, t in rows)))
+    assert len({root(i) for i in reps.values()}) == 2
+
+
+def test_one_id_of_different_texts_and_clashing_names(spark):
+    text, near = prose(5, 90), varied(1, prose(5, 90), 1)
+    rows = [(1, text, 1, 2, "k", "r"), (1, prose(6, 90), 1, 2, "k", "r"), (2, near, 1, 2, "k", "r"), (1, text, 9, 9, "k", "r"), (None, prose(7, 50), 0, 0, "", ""), (None, prose(7, 50), 0, 0, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, a int, b int, row string, _kept_id string")
+    kept = J.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, text), (1, prose(6, 90)), (0, prose(7, 50))])
 
 
 def test_components(spark):
