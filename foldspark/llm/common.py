@@ -69,6 +69,11 @@ def as_row(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
 
 
+def identity(*columns: Column) -> list[Column]:
+    """Two independent 64-bit hashes of some columns of a row, named a and b, never null."""
+    return [F.xxhash64(F.lit(name), *columns).alias(name) for name in ("a", "b")]
+
+
 def words_in(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_row, documents, written
+from .common import as_row, documents, identity, written
 from .components import components
 from .shingles import mixed, shingle_set
 
@@ -276,16 +276,11 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[[signature_of(s) == bytes(k) for s, k in zip(sets, batch["key"], strict=True)]]
 
 
-def _identity(doc_id: Column, text: Column) -> list[Column]:
-    """Two independent hashes of a row's id and text, neither null."""
-    return [F.xxhash64(F.lit(name), doc_id, text).alias(name) for name in ("a", "b")]
-
-
 def _join(docs: DataFrame, text: str, doc_id: str, threshold: float, recall: float, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketches of all rows, records (key, rep, a, b, copies), and what the blocks return."""
     runs, least = runs_for(recall, threshold), least_agreement(recall, threshold)
     own_id = docs[doc_id].cast("long")
-    rows = docs.select(own_id.alias("doc_id"), *_identity(own_id, docs[text]), docs[text].alias("text"))
+    rows = docs.select(own_id.alias("doc_id"), *identity(own_id, docs[text]), docs[text].alias("text"))
     sketched = written(rows.mapInPandas(_sketches(runs), "doc_id long, a long, b long, key binary, sketch array<int>, roots array<long>"), "sketches")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")).alias("rep")
     records = sketched.filter("key IS NOT NULL").groupBy("key").agg(rep, F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots"))
@@ -352,7 +347,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
     wordless = sketched.filter("key IS NULL").select("a", "b", F.lit(False).alias("leads")).distinct()
     rows = as_row(docs)
     own_id = F.col("row")[doc_id].cast("long")
-    rows = rows.select(*_identity(own_id, F.col("row")[text]), "row").join(leaders.unionAll(wordless), ["a", "b"])
+    rows = rows.select(*identity(own_id, F.col("row")[text]), "row").join(leaders.unionAll(wordless), ["a", "b"])
     return rows.filter("leads").dropDuplicates(["a", "b"]).unionAll(rows.filter("NOT leads")).select("row.*")
 
 

@@ -3,18 +3,19 @@
 A text is cut after sentence ends and at line ends, and sentences of more than ``PIECE_WORDS`` words into pieces of that
 many at most: after words that a hash picks (one in ``BREAK``), so that a passage is cut alike wherever it stands in a
 sentence.  Every run of ``SPAN`` consecutive sentences is hashed; where that is less than ``LEAST_WORDS`` words, it goes on
-until it has them, forwards from its first sentence and backwards from its last.  The hashes are joined over the whole
-table; all sentences of a run that is not the first one with its hash are removed.  The first is that of the least
-(doc_id, place); a null doc_id comes last.  So in a passage of more than 50 words, every whole sentence is part of a run
-that lies inside the passage.
+until it has them, forwards from its first sentence and backwards from its last.  The hashes (two of 64 bits) are joined
+over the whole table; all sentences of a run that is not the first one with its hash are removed.  The first is that of the
+least (doc_id, text hash, place); a null doc_id comes last.  So of a passage that two texts share, every whole sentence goes from the later
+one if the whole sentences (or pieces) in it have ``LEAST_WORDS`` words; parts of sentences at its ends stay.
 
-Shuffled are one row a run for the counts (combined before the shuffle), the same rows for the join, and the texts once.
-A hash that thousands of documents share is summed before it is shuffled, and its join is split by the engine's skew
-handling; only the ranges of one text are ever gathered in one place.
+Shuffled are two hashes a run for the counts (combined before the shuffle), one row a run for the join with the hashes that
+repeat, and the texts once.  The join is split by the engine's skew handling at a hash that thousands of documents share;
+only the ranges of one text are ever gathered in one place.
 
 Defined results: null text stays null and has no sentence; empty text stays empty; texts of fewer than SPAN sentences
 are left alone; a text whose sentences are all removed is empty; rows of equal doc_id and equal text are one document
-(both stay, and are treated alike); an empty table gives an empty result; other columns are kept by ``without_repeats``.
+(both stay, and are treated alike); an empty table gives an empty result; columns of any other name are kept by
+``without_repeats``, whose own column has a name that the caller may choose.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
-from .shingles import span_hashes, word_bounds
+from .common import as_row, documents, identity, written
+from .shingles import _powers_to, mixed, span_hashes, word_bounds
 
-SPAN = 3
+SPAN = 2
 PIECE_WORDS = 25
 BREAK = 8
-LEAST_WORDS = 15
+LEAST_WORDS = 25
+#: What the second hash of a run mixes into its words.
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 _END = re.compile(rb"[.!?]+[ \t-\r]+|\n[ \t-\r]*")
 
@@ -71,24 +74,24 @@ def sentences(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, pieces, places
 
 
-def runs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs, and where they stand: first sentence * 2^32 + the sentence after the last."""
+def runs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each run, and where it stands: first sentence * 2^32 + the sentence after the last."""
     data = (text or "").encode("utf-8", "replace")
     words, pieces, _ = sentences(data)
     n = len(pieces)
     if n < SPAN:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        none = np.empty(0, np.int64)
+        return none, none, none
     bounds = np.append(pieces, len(words))
     forwards = np.maximum(np.arange(n) + SPAN, np.searchsorted(bounds, bounds[:n] + LEAST_WORDS, "left"))
     backwards = np.minimum(np.arange(1, n + 1) - SPAN, np.searchsorted(bounds, bounds[1:] - LEAST_WORDS, "right") - 1)
     places = np.concatenate([(np.arange(n) << 32 | forwards)[forwards <= n], (backwards << 32 | np.arange(1, n + 1))[backwards >= 0]])
     places = np.unique(places)
-    return _sequence_hashes(words, bounds[places >> 32], bounds[places & 0xFFFFFFFF]).view(np.int64), places
+    first, after = bounds[places >> 32], bounds[places & 0xFFFFFFFF]
+    return _sequence_hashes(words, first, after).view(np.int64), _sequence_hashes(mixed(words ^ _OTHER), first, after).view(np.int64), places
 
 
 def _sequence_hashes(words: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
-    from .shingles import _powers_to, mixed
-
     powers, inverses = _powers_to(len(words) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[: len(words)])])
     return mixed((sums[after] - sums[first]) * inverses[first] + (after - first).astype(np.uint64))
@@ -114,35 +117,45 @@ def cut(text: str | None, places: np.ndarray | list[int] | None) -> tuple[str |
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [runs(t) for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "same": batch["same"], "hashes": [h for h, _ in found], "places": [p for _, p in found]})
+        h, g, places = zip(*map(runs, batch["text"]), strict=True) if len(batch) else ((), (), ())
+        yield pd.DataFrame({"rank": batch["rank"], "a": batch["a"], "b": batch["b"], "h": h, "g": g, "places": places})
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, same (the hash of the text), places: the runs that are not the first of their hash."""
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("same"), docs[text].alias("text"))
-    table = written(rows.mapInPandas(_runs, "doc_id long, same long, hashes array<long>, places array<long>"), "runs")
-    one = table.select("doc_id", "same", F.explode(F.arrays_zip("hashes", "places")).alias("r"))
-    one = one.select(F.col("r.hashes").alias("hash"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "same", F.col("r.places").alias("place")).alias("at"))
-    firsts = one.groupBy("hash").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "first")
-    # A table of its own: then both sides of the join are plain exchanges, which the engine splits at a frequent hash.
-    firsts = written(firsts, "firsts")
-    later = one.join(firsts, "hash").filter(~F.col("at").eqNullSafe(F.col("first")))
-    return later.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.same").alias("same")).agg(F.collect_set("at.place").alias("places"))
-
-
-def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with the repeated sentences cut from the text, and _spans.(sentences, removed)."""
-    found = repeated_runs(docs, text, doc_id).select(F.col("doc_id").alias("_spans_id"), F.col("same").alias("_spans_same"), F.col("places").alias("_spans_places"))
-    joined = docs.join(found, docs[doc_id].cast("long").eqNullSafe(F.col("_spans_id")) & (F.xxhash64(docs[text]) == F.col("_spans_same")), "left")
+    """a, b (hashes of doc_id and text), places: the runs that are not the first of their hash."""
+    own_id = docs[doc_id].cast("long")
+    rows = docs.select(F.coalesce(own_id, F.lit((1 << 63) - 1)).alias("rank"), *identity(own_id, docs[text]), docs[text].alias("text"))
+    table = written(rows.mapInPandas(_runs, "rank long, a long, b long, h array<long>, g array<long>, places array<long>"), "runs")
+    every = table.select("rank", "a", "b", F.explode(F.arrays_zip("h", "g", "places")).alias("r"))
+    # Counts first: most runs stand once, and their places are shuffled no further.  Tables of their own: then both sides
+    # of a join are plain exchanges, which the engine splits at a frequent hash.
+    repeats = written(every.select("r.h", "r.g").groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeats")
+    every = every.select("r.h", "r.g", F.struct("rank", "a", "b", F.col("r.places").alias("place")).alias("at"))
+    hits = written(every.join(repeats, ["h", "g"]), "hits")
+    firsts = written(hits.groupBy("h", "g").agg(F.min("at").alias("first")), "firsts")
+    later = hits.join(firsts, ["h", "g"]).filter(F.col("at") != F.col("first"))
+    return later.groupBy("at.a", "at.b").agg(F.collect_set("at.place").alias("places"))
+
+
+def cut_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """row (a struct of the columns of docs, its text without the repeated sentences), sentences, removed."""
 
     @F.pandas_udf("text string, sentences int, removed int")
     def shortened(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([cut(t, s) for t, s in zip(texts, places, strict=True)], columns=["text", "sentences", "removed"])
 
-    joined = joined.withColumn("_spans_cut", shortened(docs[text], F.col("_spans_places")))
-    columns = [F.col("_spans_cut.text").alias(c) if c == text else docs[c] for c in docs.columns]
-    return joined.select(*columns, F.struct("_spans_cut.sentences", "_spans_cut.removed").alias("_spans"))
+    rows = as_row(docs)
+    own_text = F.col("row")[text]
+    rows = rows.select(*identity(F.col("row")[doc_id].cast("long"), own_text), "row").join(repeated_runs(docs, text, doc_id), ["a", "b"], "left")
+    rows = rows.select("row", shortened(own_text, F.col("places")).alias("cut"))
+    return rows.select(F.col("row").withField(f"`{text}`", F.col("cut.text")).alias("row"), "cut.sentences", "cut.removed")
+
+
+def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", into: str = "_spans") -> DataFrame:
+    """docs with the repeated sentences cut from the text, and a column ``into`` of (sentences, removed)."""
+    if into in docs.columns:
+        raise ValueError(f"docs has a column {into!r} of its own: say another name as into=")
+    return cut_rows(docs, text, doc_id).select("row.*", F.struct("sentences", "removed").alias(into))
 
 
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ def test_many_null_ids_stay_linear(make):
     found = J.near_duplicates(docs).collect()
     assert len(found) == len(rows) and all(r["class_id"] is None for r in found)
     assert J.one_of_each(docs).count() == 2
-    plan = docs.select(*J._identity(docs["doc_id"], docs["text"]), "text").distinct()
+    plan = docs.select(*J.identity(docs["doc_id"], docs["text"]), "text").distinct()
     assert plan.select("a", "b").distinct().count() == 152  # what the join on texts goes by tells null ids apart
     reps, links, root = truth(list(enumerate(t for _, t in rows)))
     assert len({root(i) for i in reps.values()}) == 2

@@ -52,13 +52,13 @@ def brute(rows):
         n, spans = len(sentences), set()
         size = [len(w) for w, _ in sentences]
         for a in range(n):
-            for b in range(a + 3, n + 1):
-                if sum(size[a:b]) >= 15:
+            for b in range(a + 2, n + 1):
+                if sum(size[a:b]) >= 25:
                     spans.add((a, b))
                     break
         for b in range(n, 0, -1):
-            for a in range(b - 3, -1, -1):
-                if sum(size[a:b]) >= 15:
+            for a in range(b - 2, -1, -1):
+                if sum(size[a:b]) >= 25:
                     spans.add((a, b))
                     break
         for a, b in sorted(spans):
@@ -127,11 +127,36 @@ def test_passages_inside_other_sentences(make):
         assert cut[i].startswith(" ".join(rows[i][1].split()[:20]))
 
 
+def test_passages_that_begin_inside_a_sentence(make):
+    """55 words that begin inside a sentence of 20: the two whole sentences of 20 words in them go."""
+    words = prose(78, 200).replace(".", "").split()
+    passage = " ".join(words[:15]) + ". " + " ".join(words[15:35]) + ". " + " ".join(words[35:55]) + "."
+    rows = [(i, " ".join(prose(820 + i, 20).replace(".", "").split()[:5]) + " " + passage + " " + prose(830 + i, 40)) for i in range(5)]
+    cut = check(make, rows)
+    assert passage in cut[0]
+    for i in range(1, 5):
+        assert " ".join(words[15:35]) not in cut[i] and " ".join(words[35:55]) not in cut[i]
+        assert " ".join(words[:15]) in cut[i]
+
+
+def test_clashing_names(spark):
+    text = prose(9, 60)
+    rows = [(i, text + f" Own{i} " + prose(20 + i, 40), 1, 2, "r", i) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, a int, b int, row string, places int")
+    found = S.without_repeats(docs)
+    assert found.columns == [*docs.columns, "_spans"] and found.filter("_spans.removed > 0").count() == 2
+    with pytest.raises(ValueError, match="into"):
+        S.without_repeats(found)
+    assert S.without_repeats(found, into="again").filter("again.removed > 0").count() == 0
+
+
 def test_edges(make, edge_rows):
     rows = [r[:2] for r in edge_rows]
     cut = check(make, rows)
     assert cut[2] is None and cut[3] == "" and cut[5] == "" and cut[1] == rows[0][1]
     assert S.without_repeats(make(edge_rows).limit(0)).count() == 0
+    h, g, places = S.runs(rows[9][1])
+    assert len(np.unique(h)) == len(np.unique(g)) == len(places) and not np.isin(h, g).any()
     assert S.repeated_runs(make([(1, None), (2, "")])).count() == 0
 
 
