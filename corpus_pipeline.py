@@ -34,13 +34,14 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the sentences that stand in an earlier document; documents that lose every word go."""
     let_workers_import(spark)
-    found = sentence_spans.without_repeats(docs)
-    cut = F.col("_spans.removed") > 0
-    found = found.filter(~cut | F.rlike("text", F.lit(WORD)))
+    found = sentence_spans.cut_rows(docs)
+    text, was_cut = F.col("row.text"), F.col("removed") > 0
+    found = found.filter(~was_cut | F.rlike(text, F.lit(WORD)))
+    row = F.col("row")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        found = found.withColumn("n_chars", F.when(cut, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+        row = row.withField("n_chars", F.when(was_cut, F.length(text).cast(kind)).otherwise(F.col("row.n_chars")))
+    return found.select(row.alias("row")).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
