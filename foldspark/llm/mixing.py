@@ -9,8 +9,9 @@ rounding, unless the smaller sizes could not make up for it.  So the sample's wo
 small document, and which documents of a size are in it is decided by a seeded hash.
 
 Only the counts of a source's different sizes are ever in one task, and these are as many as its longest text has words
-at most.  Documents of one source and size are ranked in 256 cells of their hash; the number in the cells before is added.
-Sources themselves are ordered in one task, one row each.
+at most.  Documents of one source and size are ranked by their hash in cells of its first digits, as many as the number of
+documents asks for, and the number in the cells before is added; so only rows of equal id and equal text are sure to share a
+cell.  Sources are ordered over range partitions, whose sums alone (a row a partition) come to the driver.
 
 Defined results: null text or text without a word has size 0 and is taken 0 times; the null source is a source of its
 own, last in the order; repeated rows count one by one; an empty table gives an empty result; columns of any other name
@@ -22,38 +23,45 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, words_in, written
+from .common import as_row, documents, words_in, written
 
 CAP = 3.0
 SEED = 17
+#: Documents in a cell of hashes, about, if they were all of one source and size.
+PER_CELL = 1 << 17
+
+
+def in_order(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """rows with a column for each of sums (new name -> column): its sum over all rows before, in the order given, which
+    must be total.  Range partitions are summed one by one; their totals come to the driver."""
+    spread = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "mix-order")
+    totals = {r["_part"]: r for r in spread.groupBy("_part").agg(*[F.sum(c).alias(n) for n, c in sums.items()]).collect()}
+    before: dict[str, list] = {n: [0] for n in sums}
+    for part in range(max(totals, default=0)):
+        for n, own in before.items():
+            own.append(own[-1] + (totals[part][n] if part in totals else 0))
+    earlier = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    base = {n: F.element_at(F.array(*map(F.lit, own)), F.col("_part") + 1) for n, own in before.items()}
+    return spread.withColumns({n: base[n] + F.coalesce(F.sum(c).over(earlier), F.lit(0)) for n, c in sums.items()}).drop("_part")
 
 
 def water_fill(totals: DataFrame, cap: float = CAP, share: float = 1.0) -> DataFrame:
     """(key, source, source_size, weight) -> with ``target``: min(cap * size, level * weight), summing to share of all sizes."""
-    every = Window.partitionBy()
-    order = every.orderBy("ratio", "key")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(0, Window.unboundedFollowing)
     rows = totals.withColumn("cap", F.lit(cap) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    rows = rows.withColumn("place", F.row_number().over(order)).withColumn(
-        "level",
-        (F.lit(share) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        / F.sum("weight").over(after),
-    )
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(every)
-    return (
-        rows.withColumn("first", first)
-        .withColumn(
-            "target",
-            F.when(F.col("first").isNull() | (F.col("place") < F.col("first.place")), F.col("cap")).otherwise(
-                F.col("first.level") * F.col("weight")
-            ),
-        )
-        .drop("cap", "ratio", "place", "level", "first")
-    )
+    every = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    rows = in_order(rows, [F.col("ratio"), F.col("key")], {"caps_before": "cap", "weight_before": "weight"})
+    level = (F.lit(share) * F.lit(float(every["size"])) - F.col("caps_before")) / (F.lit(every["weight"]) - F.col("weight_before"))
+    rows = rows.withColumn("level", level)
+    # The first source that the water does not fill: from it on, all have this level.
+    first = rows.filter("level <= ratio").agg(F.min(F.struct("ratio", "key", "level")).alias("f")).first()["f"]
+    target = F.col("cap")
+    if first is not None:
+        filled = (F.col("ratio") < first["ratio"]) | ((F.col("ratio") == first["ratio"]) & (F.col("key") < first["key"]))
+        target = F.when(filled, F.col("cap")).otherwise(F.lit(first["level"]) * F.col("weight"))
+    return rows.withColumn("target", target).drop("cap", "ratio", "caps_before", "weight_before", "level")
 
 
 def _unit(text) -> F.Column:
@@ -62,22 +70,22 @@ def _unit(text) -> F.Column:
 
 
 def _planned(docs: DataFrame, text: str, source: str, doc_id: str, cap: float, seed: int) -> DataFrame:
-    """docs with the columns _mix.(size, source_size, target, times)."""
-    rows = docs.withColumns(
-        {
-            "_mix_key": F.when(docs[source].isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), docs[source].cast("string"))),
-            "_mix_source": docs[source].cast("string"),
-            "_mix_size": words_in(docs[text]),
-            "_mix_hash": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[doc_id].cast("string"), F.lit(""))).cast("binary")),
-        }
-    ).withColumn("_mix_cell", F.substring("_mix_hash", 1, 2))
-    cells = written(
-        rows.groupBy("_mix_key", "_mix_source", "_mix_size", "_mix_cell").agg(F.count(F.lit(1)).alias("n")).toDF("key", "source", "size", "cell", "n"),
-        "mix-cells",
-    )
+    """row (the columns of docs) with size, plan.(source_size, target), and times."""
+    rows = as_row(docs)
+    own_source, own_text, own_id = (F.col("row")[c] for c in (source, text, doc_id))
+    digits = 2 + max(0, math.ceil(math.log(max(1, docs.count()) / (256 * PER_CELL), 16)))
+    told = F.concat(F.lit(f"{seed}:"), F.coalesce(own_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(own_text, F.lit("")).cast("binary")))
+    rows = rows.select(
+        "row",
+        F.when(own_source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), own_source.cast("string"))).alias("key"),
+        own_source.cast("string").alias("source"),
+        words_in(own_text).alias("size"),
+        F.md5(told.cast("binary")).alias("hash"),
+    ).withColumn("cell", F.substring("hash", 1, digits))
+    cells = written(rows.groupBy("key", "source", "size", "cell").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
     totals = cells.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    number = F.row_number().over(Window.partitionBy().orderBy(F.col("source").asc_nulls_last()))
-    plan = water_fill(totals.withColumn("weight", ((number - 1) % 3 + 1).cast("double")), cap)
+    numbered = in_order(totals.withColumn("one", F.lit(1)), [F.col("source").asc_nulls_last()], {"number": "one"}).drop("one")
+    plan = written(water_fill(numbered.withColumn("weight", (F.col("number") % 3 + 1).cast("double")).drop("number"), cap), "mix-plan")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("times", times).withColumn("whole", F.floor("times")).withColumn("part", F.col("times") - F.col("whole"))
 
@@ -89,15 +97,12 @@ def _planned(docs: DataFrame, text: str, source: str, doc_id: str, cap: float, s
         cells.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .join(plan.drop("source"), "key")
         .join(chosen, ["key", "size"], "left")
-        .select(
-            F.col("key").alias("_mix_key"), F.col("size").alias("_mix_size"), F.col("cell").alias("_mix_cell"),
-            F.struct("earlier", "source_size", "target", "whole", "chosen").alias("_mix_plan"),
-        )
-    )
-    cell = ["_mix_key", "_mix_size", "_mix_cell"]
-    ranked = rows.withColumn("_mix_rank", F.row_number().over(Window.partitionBy(*cell).orderBy("_mix_hash")))
-    more = (F.col("_mix_rank") + F.col("_mix_plan.earlier") <= F.col("_mix_plan.chosen")).cast("long")
-    return ranked.join(cells, cell).withColumn("_mix_times", F.when(F.col("_mix_size") > 0, F.col("_mix_plan.whole") + more).otherwise(F.lit(0)))
+        .select("key", "size", "cell", F.struct("earlier", "source_size", "target", "whole", "chosen").alias("plan"))
+    )
+    cell = ["key", "size", "cell"]
+    ranked = rows.drop("source").withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy("hash")))
+    more = (F.col("rank") + F.col("plan.earlier") <= F.col("plan.chosen")).cast("long")
+    return ranked.join(cells, cell).withColumn("times", F.when(F.col("size") > 0, F.col("plan.whole") + more).otherwise(F.lit(0)))
 
 
 def _sampled_sizes(sizes: pd.DataFrame) -> pd.DataFrame:
@@ -126,18 +131,18 @@ def mixture(docs: DataFrame, text: str = "text", source: str = "source", doc_id:
     """One row a document: doc_id, size, source_size, target, taken."""
     rows = _planned(docs.select(doc_id, text, source), text, source, doc_id, cap, seed)
     return rows.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col("_mix_size").alias("size"),
-        F.col("_mix_plan.source_size").alias("source_size"),
-        F.col("_mix_plan.target").alias("target"),
-        (F.col("_mix_size") * F.col("_mix_times")).cast("long").alias("taken"),
+        F.col("row")[doc_id].alias("doc_id"),
+        "size",
+        "plan.source_size",
+        "plan.target",
+        (F.col("size") * F.col("times")).cast("long").alias("taken"),
     )
 
 
 def repeated(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", cap: float = CAP, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of docs as many times as it is taken."""
-    rows = _planned(docs, text, source, doc_id, cap, seed).filter("_mix_times > 0")
-    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_times").cast("long")))).select(*[docs[c] for c in docs.columns])
+    rows = _planned(docs, text, source, doc_id, cap, seed).filter("times > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long")))).select("row.*")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +153,7 @@ OP10_SQL = rf"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS key,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h
   FROM documents),
 totals AS (
   SELECT key, source, CAST(sum(size) AS BIGINT) AS source_size,

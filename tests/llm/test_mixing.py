@@ -99,3 +99,25 @@ def test_equals_sql(spark, make):
     names = ["doc_id", "size", "source_size", "target", "taken"]
     wanted = sorted(db.execute(f"SELECT {', '.join(names)} FROM ({M.OP10_SQL})").fetchall())
     assert sorted(tuple(r[n] for n in names) for r in M.mixture(docs).collect()) == wanted
+
+
+def test_sums_in_order(spark):
+    from pyspark.sql import functions as F
+
+    values = [(x * 7919 % 1000, x % 5) for x in range(1000)]
+    found = M.in_order(spark.createDataFrame(values, "x int, n int").repartition(5), [F.col("x")], {"before": "n"})
+    totals, so_far = {}, 0
+    for x, n in sorted(values):
+        totals[x] = so_far
+        so_far += n
+    assert {r["x"]: r["before"] for r in found.collect()} == totals
+    assert M.in_order(spark.createDataFrame([], "x int, n int"), [F.col("x")], {"before": "n"}).count() == 0
+
+
+def test_cells_change_nothing_and_names_may_clash(spark, monkeypatch):
+    rows = [(None if i % 3 else i, prose(i % 40, 5 + i % 9), "s" + str(i % 4), "m", 3, "c") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_size string, size int, cell string")
+    once = sorted(map(tuple, M.repeated(docs).collect()), key=str)
+    assert M.repeated(docs).columns == docs.columns
+    monkeypatch.setattr(M, "PER_CELL", 1 / 256)
+    assert sorted(map(tuple, M.repeated(docs).collect()), key=str) == once
