@@ -10,6 +10,7 @@ from .operators import frame as _frame
 from .operators.frame import reduce
 from .plans.config import (
     apply_parallel_grains_config,
+    apply_saved_parallel_grains_on_import,
     clear_parallel_grains_config,
     get_default_parallel_grains,
     get_num_threads,
@@ -25,6 +26,7 @@ from .plans.config import (
     use_default_parallel_grains,
 )
 
+apply_saved_parallel_grains_on_import()
 globals().update({name: getattr(_frame, name) for name in _frame.NAMES})
 
 __all__ = [

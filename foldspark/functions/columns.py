@@ -2,7 +2,7 @@
 
 All are built-in aggregates in one Aggregate node, combined before the shuffle.  ``x`` is a column name or Column of
 element kind ``kind`` (see ``policy.kind_of``; "float" if not said).  Empty input gives NaN (sum: 0, exact types: NULL).
-``var`` here is one-pass and rescaled; ``operators.frame`` has the two-pass form, which is exact for large offsets.
+``var`` here is from running moments, rescaled; ``operators.frame`` has the form that is exact for large offsets too.
 """
 
 from __future__ import annotations

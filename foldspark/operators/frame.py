@@ -4,9 +4,17 @@
 elements.  ``axis=0`` reduces arrays position by position over rows (the key ``pos`` joins ``by``).  ``axis=-1`` reduces
 each row's array and keeps the row.  Any other axis is not supported.
 
-Plans: one Aggregate for everything but two-pass variance and the lower median of wide types; only the column, the
-weights and the keys are read.  The two-pass variance reads its input twice.  The groups' means go back to the rows by a
-broadcast if the groups, counted first, are ``BROADCAST_GROUPS`` at most, and by a shuffled join beyond that.
+Plans: one Aggregate for everything but what follows; only the column, the weights and the keys are read, and no job runs
+while a plan is built.
+
+* Variance: one pass with the engine's running moments, which lose digits where a group's mean is far beyond its spread.
+  Groups whose mean is more than ``FAR`` standard deviations from zero are done again about their mean.  That part of the
+  plan hangs on a broadcast of one row, "there is such a group": without one, adaptive execution drops it, and the input
+  is read once.
+* Median, percentile and quantile of inputs beyond ``LARGE_BYTES`` (by the optimizer's statistics), or on request: a
+  sketch of each group brackets the elements of the wanted ranks, and only these elements are counted and ordered.  The
+  input is read twice, and a group's values never come together.  Smaller inputs keep counts of values by group.
+* Lower median of 64-bit and boolean columns: by the bracketed ranks if the input is large, else by counts of values.
 """
 
 from __future__ import annotations
@@ -19,9 +27,14 @@ from pyspark.sql import types as T
 
 from ..functions import arrays, columns
 from ..functions.policy import NAN, Policy, as_double, checked_ddof, checked_q, kept, kind_of
+from ..plans.config import ELEMENT_BYTES, bounded, estimated_elements, grain_of
 
 OPS = ("mean", "sum", "min", "max", "minmax", "var", "std", "median", "lmedian", "percentile", "quantile", "average", "count_finite")
-BROADCAST_GROUPS = 200_000
+#: Standard deviations from zero beyond which running moments of a group are not trusted.
+FAR = 1e3
+LARGE_BYTES = 1 << 36
+#: The sketches' accuracy, how far (as a share of ranks) their brackets reach, and rows of a group that needs no bracket.
+SKETCH, REACH, FEW = 10_000, 4e-4, 50_000
 _X, _W = "_fold_x", "_fold_w"
 
 
@@ -61,13 +74,15 @@ def reduce(
     return_unweighted_sum: bool = False,
     strict: bool = False,
     one_pass: bool = False,
+    bracketed: bool | None = None,
     validate: bool = True,
     alias: str = "value",
 ) -> DataFrame:
     """The reduction ``op`` of a column as a DataFrame: keys (or the rows, for axis=-1) and ``alias``.
 
     weights: a column of the same shape; along axis 0 also one weight a row; along axis -1 also a list of numbers.
-    one_pass: variance from running moments, in one scan (also used for streams, which cannot be read twice).
+    one_pass: variance from running moments alone (also used for streams, which cannot be read twice).
+    bracketed: whether exact ranks go by brackets; None decides by the size of the input.
     validate=False skips the type checks.
     """
     _checked(op, axis)
@@ -118,13 +133,20 @@ def reduce(
     else:
         rows = df.select(*keys, F.col(column).alias(_X), *([F.col(weights).alias(_W)] if weights else []))
 
+    grain = grain_of(op, axis, policy.skips, weights is not None)
     if op in ("var", "std") and not one_pass and not df.isStreaming:
-        return _two_pass(rows, by, op, policy, kinds, ddof, return_mean, element, axis, alias)
+        return bounded(_moments(rows, by, op, policy, kinds, ddof, return_mean, element, axis, alias), df, grain)
+    if op in ("median", "lmedian", "percentile", "quantile") and not strict and not df.isStreaming:
+        if bracketed is None:
+            bracketed = estimated_elements(df) * ELEMENT_BYTES > LARGE_BYTES
+        if bracketed:
+            found = _bracketed(rows, by, op, policy, kinds, [0.5] if op == "median" else fractions, scalar, element, axis, alias)
+            return bounded(found, df, grain)
     if op == "lmedian" and kinds in ("wide", "bool") and not df.isStreaming:
-        return _exact_lower_median(rows, by, alias)
+        return bounded(_exact_lower_median(rows, by, alias), df, grain)
     value = _aggregate(op, policy, kinds, weights is not None, weight_kind, fractions, scalar, ddof, return_mean, return_sum_weights, return_unweighted_sum, strict, element)
     value = value if op == "sum" and weights is not None else _narrowed(op, value, element, axis, return_mean)
-    return rows.groupBy(*by).agg(value.alias(alias)) if by else rows.agg(value.alias(alias))
+    return bounded(rows.groupBy(*by).agg(value.alias(alias)), df, grain) if by else rows.agg(value.alias(alias))
 
 
 def _aggregate(op, policy, kind, weighted, weight_kind, fractions, scalar, ddof, return_mean, sum_weights, unweighted, strict, element) -> Column:
@@ -157,38 +179,92 @@ def _in_row(op, a, w, policy, kind, weight_kind, fractions, scalar, ddof, return
     return {"mean": arrays.mean_of, "min": arrays.min_of, "max": arrays.max_of, "minmax": arrays.minmax_of, "median": arrays.median_of, "lmedian": arrays.lmedian_of}[op](a, policy, kind)
 
 
-def _two_pass(rows: DataFrame, by: list[str], op: str, policy: Policy, kind: str, ddof: int, return_mean: bool, element: T.DataType, axis: int | None, alias: str) -> DataFrame:
-    """The mean first, then the squares about it."""
+def _on(by: list[str], names: list[str]) -> Column:
+    """Equal keys, null ones too; true without any."""
+    out = F.lit(True)
+    for k, m in zip(by, names, strict=True):
+        out = out & F.col(k).eqNullSafe(F.col(m))
+    return out
+
+
+def _moments(rows: DataFrame, by: list[str], op: str, policy: Policy, kind: str, ddof: int, return_mean: bool, element: T.DataType, axis: int | None, alias: str) -> DataFrame:
+    """Running moments of all groups, and squares about the mean of those that are far from zero."""
     value = as_double(kept(F.col(_X), kind, policy), kind)
     rows = rows.select(*by, value.alias(_X))
-    n, centre = F.count(_X), F.avg(_X)
-
-    def finished(mean: Column) -> Column:
-        # The sum of the differences is zero but for the mean's own rounding, and takes that out again.
-        off = F.col(_X) - mean
-        squares = F.sum(off * off) - F.sum(off) * F.sum(off) / F.when(F.count(_X) > 0, F.count(_X))
-        var = F.when(F.count(_X) <= ddof, F.lit(NAN)).otherwise(F.greatest(squares, F.lit(0.0)) / (F.count(_X) - ddof))
-        return F.sqrt(var) if op == "std" else var
+    n, mean, var = (f"_fold_{x}" for x in ("n", "mean", "var"))
+    first = rows.groupBy(*by).agg(F.count(_X).alias(n), F.avg(_X).alias(mean), F.var_pop(_X).alias(var))
+    far = (F.col(var) > 0) & (F.abs(mean) > FAR * F.sqrt(var)) & (F.abs(mean) < F.lit(float("inf")))
+    is_far = F.coalesce(far & ~F.isnan(var), F.lit(False))
 
-    def packed(var: Column, mean: Column) -> Column:
-        var, mean = _narrowed(op, var, element, axis), _narrowed("mean", mean, element, axis)
-        return (F.struct(var.alias(op), mean.alias("mean")) if return_mean else var).alias(alias)
+    names = [f"_fold_k{i}" for i in range(len(by))]
+    groups = first.filter(is_far).select(*[F.col(k).alias(m) for k, m in zip(by, names, strict=True)], F.col(n).alias(f"{n}2"), F.col(mean).alias("_fold_centre"))
+    any_far = F.broadcast(groups.limit(1).select(F.lit(1).alias("_fold_any")))
+    again = rows.join(any_far, F.lit(True), "left_semi")
+    again = again.join(groups, _on(by, names)) if by else again.crossJoin(F.broadcast(groups))
+    # The sum of the differences is zero but for the mean's own rounding, and takes that out again.
+    off = F.col(_X) - F.col("_fold_centre")
+    squares = (F.sum(off * off) - F.sum(off) * F.sum(off) / F.count(_X)) / F.count(_X)
+    again = again.groupBy(*by, f"{n}2", "_fold_centre").agg(F.greatest(squares, F.lit(0.0)).alias(var))
+    both = first.filter(~is_far).unionAll(again.select(*by, f"{n}2", "_fold_centre", var))
+
+    whole = F.when(F.col(n) <= ddof, F.lit(NAN)).otherwise(F.col(var) * F.col(n) / (F.col(n) - ddof))
+    whole = _narrowed(op, F.sqrt(whole) if op == "std" else whole, element, axis)
+    centre = _narrowed("mean", F.coalesce(mean, F.lit(NAN)), element, axis)
+    return both.select(*by, (F.struct(whole.alias(op), centre.alias("mean")) if return_mean else whole).alias(alias))
+
+
+def _bracketed(rows: DataFrame, by: list[str], op: str, policy: Policy, kind: str, fractions: list[float], scalar: bool, element: T.DataType, axis: int | None, alias: str) -> DataFrame:
+    """Exact ranks of groups of any size: brackets from sketches, then the ordered values inside the brackets alone."""
+    exact = op == "lmedian"  # keeps the type, and has one rank
+    value = F.col(_X) if kind != "bool" else F.col(_X).cast("int")
+    nan = F.coalesce(F.bool_or(F.isnan(_X)), F.lit(False)) if kind == "float" and policy is Policy.ALL else F.lit(False)
+    value = kept(value, kind, policy)
+    value = value if exact else as_double(F.col(_X), kind) if kind != "float" else value.cast("double")
+    every = rows.select(*by, F.col(_X), value.alias("_fold_v"))
+    fractions = [0.5] if exact else fractions
+    ends = [sorted((0.0, q + d, 1.0))[1] for q in fractions for d in (-REACH, REACH)]
+    sketch = F.percentile_approx("_fold_v", F.array(*map(F.lit, ends)), SKETCH)
+    groups = every.groupBy(*by).agg(F.count("_fold_v").alias("_fold_n"), F.min("_fold_v").alias("_fold_least"), F.max("_fold_v").alias("_fold_most"), sketch.alias("_fold_ends"), nan.alias("_fold_nan"))
+    few, n = F.col("_fold_n") <= FEW, F.col("_fold_n")
+
+    def wanted(i: int, q: float) -> Column:
+        """Of one fraction: the two ranks, and the bracket that holds their elements."""
+        at = F.floor((n - 1) / 2).cast("double") if exact else F.lit(q) * (n - 1)
+        low = F.when(few, F.col("_fold_least")).otherwise(F.col("_fold_ends")[2 * i])
+        high = F.when(few, F.col("_fold_most")).otherwise(F.col("_fold_ends")[2 * i + 1])
+        # Sketches hold doubles, and rounding to doubles keeps the order: so brackets are compared as doubles.
+        return F.struct(F.lit(i).alias("i"), at.alias("at"), low.cast("double").alias("low"), high.cast("double").alias("high"))
 
-    if not by:
-        mean = rows.agg(centre).first()[0]
-        mean = F.lit(NAN if mean is None else mean)
-        return rows.agg(packed(finished(mean), mean))
     names = [f"_fold_k{i}" for i in range(len(by))]
-    means = rows.groupBy(*by).agg(F.coalesce(centre, F.lit(NAN)).alias("_fold_mean"), n.alias("_fold_n"))
-    means = means.select(*[F.col(k).alias(m) for k, m in zip(by, names, strict=True)], "_fold_mean").persist()
-    small = means.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    matched = [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(by, names, strict=True)]
-    condition = matched[0]
-    for more in matched[1:]:
-        condition = condition & more
-    joined = rows.join(F.broadcast(means) if small else means.hint("merge"), condition)
-    groups = joined.groupBy(*by)
-    return groups.agg(finished(F.col("_fold_mean")).alias("_fold_var"), F.first("_fold_mean").alias("_fold_mean")).select(*by, packed(F.col("_fold_var"), F.col("_fold_mean")))
+    keys = [F.col(k).alias(m) for k, m in zip(by, names, strict=True)]
+    brackets = groups.filter("_fold_n > 0 AND NOT _fold_nan").select(*keys, F.array(*[wanted(i, q) for i, q in enumerate(fractions)]).alias("_fold_w"))
+    # Hangs on a broadcast of one row, so that the brackets' size is known before the rows are joined to them.
+    started = every.filter("_fold_v IS NOT NULL").select(*by, "_fold_v").join(F.broadcast(brackets.limit(1).select(F.lit(1).alias("_fold_any"))), F.lit(True), "left_semi")
+    inside = started.join(brackets, _on(by, names)) if by else started.crossJoin(F.broadcast(brackets))
+    inside = inside.select(*names, "_fold_v", F.explode("_fold_w").alias("w")).filter("double(_fold_v) <= w.high")
+    below = F.col("_fold_v").cast("double") < F.col("w.low")
+    # Values below a bracket are one row of its counts.
+    counts = inside.groupBy(*names, F.col("w.i").alias("i"), F.col("w.at").alias("at"), F.when(~below, F.col("_fold_v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy(*names, "i").orderBy(F.col("v").asc_nulls_first())
+    ranked = counts.withColumn("upto", F.sum("c").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    # The element of a rank is the first value that so many elements do not pass.
+    lower = F.min(F.when(F.col("upto") > F.floor("at"), F.col("v")))
+    upper = F.min(F.when(F.col("upto") > F.ceil("at"), F.col("v")))
+    missed = F.bool_or((F.col("v").isNull()) & (F.col("upto") > F.floor("at")))
+    ranked = ranked.groupBy(*names, "i").agg(F.first("at").alias("at"), lower.alias("lower"), upper.alias("upper"), missed.alias("missed"))
+    step = F.col("at") - F.floor("at")
+    between = F.col("lower") if exact else F.when((step == 0) | (F.col("lower") == F.col("upper")), F.col("lower")).otherwise((1 - step) * F.col("lower") + step * F.col("upper"))
+    lost = F.raise_error(F.lit("a sketch's bracket does not hold a rank")).cast("double" if not exact else groups.schema["_fold_least"].dataType)
+    between = F.when(F.coalesce("missed", F.lit(False)) | F.col("upper").isNull(), lost).otherwise(between)
+    found = ranked.groupBy(*names).agg(*[F.max(F.when(F.col("i") == i, between)).alias(f"_fold_q{i}") for i in range(len(fractions))])
+    joined = groups.select(*by, "_fold_nan").join(found, _on(by, names), "left") if by else groups.select("_fold_nan").join(F.broadcast(found), F.lit(True), "left")
+    values = [F.col(f"_fold_q{i}") for i in range(len(fractions))]
+    if exact:
+        value = values[0].cast(element) if kind != "float" else _narrowed(op, F.coalesce(values[0].cast("double"), F.lit(NAN)), element, axis)
+    else:
+        values = [F.when(F.col("_fold_nan"), F.lit(NAN)).otherwise(F.coalesce(v, F.lit(NAN))) for v in values]
+        value = _narrowed(op, values[0] if scalar else F.array(*values), element, axis)
+    return joined.select(*by, value.alias(alias))
 
 
 def _exact_lower_median(rows: DataFrame, by: list[str], alias: str) -> DataFrame:
@@ -224,8 +300,8 @@ _DOCS = {
     "min": "least value",
     "max": "greatest value",
     "minmax": "struct of least and greatest value",
-    "var": "two-pass variance with ddof, on request with the mean",
-    "std": "square root of the two-pass variance",
+    "var": "variance with ddof, exact far from zero too, on request with the mean",
+    "std": "square root of the variance",
     "median": "exact median",
     "percentile": "linear interpolation at q in [0, 100], one number or several",
     "quantile": "linear interpolation at q in [0, 1], one number or several",

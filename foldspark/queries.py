@@ -273,7 +273,9 @@ def _catalogue() -> dict[str, tuple[Query, str]]:
         _row("average", 6, weights=ramp),
         f"SELECT vec_id, round(sum(e * (pos + 1)) / sum(pos + 1), 6) AS v FROM {_POS} GROUP BY vec_id",
     )
-    return out
+    from .axis_queries import catalogue
+
+    return out | catalogue()
 
 
 def queries() -> dict[str, Query]:

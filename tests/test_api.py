@@ -47,13 +47,57 @@ def test_fused_results_share_one_aggregate(spark):
     assert "Python" not in plan and "PushedFilters: [IsNotNull(l_tax), LessThan(l_tax,0.05)]" in plan_of(fs.mean(table.filter("l_tax < 0.05"), "l_tax"))
 
 
-def test_two_pass_broadcasts_only_a_checked_size(spark, monkeypatch):
+def test_variance_reads_twice_only_far_from_zero(spark, tmp_path):
+    near = spark.range(2000).selectExpr("id % 3 AS g", "double(id) AS x")
+    far = near.selectExpr("g", "IF(g = 1, 1e15 + 2 * (x % 7), x) AS x")
+    for kind, table in (("near", near), ("far", far)):
+        table.write.parquet(str(tmp_path / kind))
+        read = spark.read.parquet(str(tmp_path / kind))
+        for by in (["g"], []):
+            values = read.filter("g = 1") if not by else read
+            found = fs.var(values, "x", by=by)
+            got = {r["g"] if by else 1: r["value"] for r in found.collect()}
+            for g, own in table.toPandas().groupby("g"):
+                if g in got:
+                    assert got[g] == pytest.approx(np.var(own["x"].to_numpy() - own["x"].iloc[0]), rel=1e-9)
+            # The second part of the plan is gone from the final one unless a group needs it.
+            final = plan_of(found).split("Initial Plan")[0]
+            assert ("Union" in final) == (kind == "far"), final
+
+
+def test_no_job_while_building(spark):
     table = sources.vector(spark, np.arange(8.0)).withColumn("g", F.col("pos") % 2)
-    assert "BroadcastHashJoin" in plan_of(fs.var(table, "x", by="g"))
-    monkeypatch.setattr("foldspark.operators.frame.BROADCAST_GROUPS", 1)
-    beyond = fs.var(table, "x", by="g")
-    assert "SortMergeJoin" in plan_of(beyond)
-    assert {r["g"]: r["value"] for r in beyond.collect()} == {0: 5.0, 1: 5.0}
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    plans = [fs.var(table, "x", by="g"), fs.std(table, "x"), fs.median(table, "x", by="g", bracketed=True), fs.lmedian(table, "pos")]
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    assert [p.count() for p in plans] == [2, 1, 2, 1]
+
+
+@pytest.mark.parametrize("few", [50_000, 2500])
+def test_bracketed_ranks(spark, monkeypatch, few):
+    """Equal to the map of counts, for groups with a bracket and without."""
+    monkeypatch.setattr("foldspark.operators.frame.FEW", few)
+    table = spark.range(9000).selectExpr(
+        "IF(id % 50 = 0, 'small', IF(id % 3 = 0, NULL, 'big')) AS g",
+        "CASE WHEN id % 97 = 0 THEN double('NaN') WHEN id % 101 = 0 THEN double('Infinity') ELSE round(pow(hash(id) / 1e9, 3), 2) END AS x",
+        "CASE WHEN id % 4 = 0 THEN 7 ELSE 9007199254740993 + hash(id) END AS k", "id % 5 > 1 AS b", "float(id % 1000) AS f", "IF(id % 11 = 0, NULL, double(id)) AS m",
+    )
+
+    def rows(found):
+        return sorted((str(r["g"]) if "g" in found.columns else "", str(r["value"])) for r in found.collect())
+
+    for by in (["g"], []):
+        for call in (
+            lambda **o: fs.nanpercentile(table, "x", q=[0, 16, 50, 99.9, 100], **o), lambda **o: fs.nanmedian(table, "x", ignore_inf=True, **o), lambda **o: fs.median(table, "x", **o),
+            lambda **o: fs.median(table, "m", **o), lambda **o: fs.lmedian(table, "k", **o), lambda **o: fs.lmedian(table, "b", **o), lambda **o: fs.lmedian(table, "f", **o), lambda **o: fs.quantile(table, "k", q=0.3, **o),
+            lambda **o: fs.median(table.filter("false"), "x", **o), lambda **o: fs.nanmedian(table.withColumn("x", F.lit(float("nan"))), "x", **o),
+        ):
+            a, b = call(by=by, bracketed=False), call(by=by, bracketed=True)
+            assert a.dtypes == b.dtypes and rows(a) == rows(b)
+    stack = spark.range(300).selectExpr("array(double(id), IF(id % 7 = 0, double('NaN'), -double(id))) AS a")
+    a, b = (sorted(map(tuple, fs.nanquantile(stack, "a", 0, q=[0.1, 0.9], bracketed=x).selectExpr("pos", "string(value)").collect())) for x in (False, True))
+    assert a == b and "percentile_approx" in plan_of(fs.median(table, "x", by="g", bracketed=True))
 
 
 def test_array_rows_are_not_shuffled(spark):
@@ -104,6 +148,34 @@ def test_grains(tmp_path, monkeypatch):
         fs.use_default_parallel_grains()
 
 
+def test_saved_grains_on_import(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    file = tmp_path / "grains.json"
+    code = "import foldspark as fs; print(fs.get_parallel_grains()['minmax_1d'])"
+    for text, said, warned in (('{"minmax_1d": 12}', "12", False), ("{", "65536", True), ('{"other": 1}', "65536", True)):
+        file.write_text(text)
+        run = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, env={**os.environ, "FOLDSPARK_GRAINS_FILE": str(file)})
+        assert run.stdout.strip() == said and ("saved grains are not used" in run.stderr) == warned, run.stderr
+
+
+def test_grains_limit_tasks(spark):
+    table = spark.range(50_000).selectExpr("id % 100 AS g", "double(id) AS x").repartition(4, "x")
+    usual = {r["g"]: r["value"] for r in fs.minmax(table, "x", by="g").collect()}
+    try:
+        fs.set_parallel_grain("minmax_1d", 1 << 40)
+        assert spark.conf.get("spark.foldspark.grain.minmax_1d") == str(1 << 40)
+        found = fs.minmax(table, "x", by="g")
+        assert found.rdd.getNumPartitions() == 1 and "Coalesce 1" in plan_of(found)
+        assert {r["g"]: r["value"] for r in found.collect()} == usual
+        assert "Coalesce" not in plan_of(fs.mean(table, "x", by="g"))
+    finally:
+        fs.use_default_parallel_grains()
+    assert "Coalesce" not in plan_of(fs.minmax(table, "x", by="g"))
+
+
 def test_partitions_for(spark):
     from foldspark.plans.config import partitions_for
 
@@ -166,12 +238,20 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_tuning(spark):
-    from foldspark.plans.tuning import best_grain, main
+def test_tuning(spark, tmp_path, capsys):
+    from foldspark.plans import tuning
 
-    best, scores = best_grain(spark, "minmax_1d", [1024], 2000, 1, 0, 1e9)
-    assert best in scores and len(scores) == 2
-    assert main(["--reset", "--config", "/tmp/no-such-grains.json"]) == 0
+    assert tuning.grain_from(1000, 2.0, 1.0) == 256 and tuning.grain_from(0, 0.0, 1.0) == 1
+    spark.range(20_000).selectExpr("id % 3 AS g", "double(id) AS x").write.parquet(str(tmp_path / "t"))
+    file = tmp_path / "grains.json"
+    try:
+        assert tuning.main(["--table", str(tmp_path / "t"), "--column", "x", "--by", "g", "--config", str(file)]) == 0
+        saved = fs.load_parallel_grains_config(file)
+        assert saved == fs.get_parallel_grains() and all(v & (v - 1) == 0 for v in saved.values())
+    finally:
+        fs.use_default_parallel_grains()
+    assert "PySpark" in capsys.readouterr().out
+    assert tuning.main(["--reset", "--config", str(file)]) == 0 and not file.exists()
 
 
 def test_names_need_no_session():
