@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,12 +28,14 @@ SMALL_BATCHES = {
 
 
 def let_workers_import(spark: SparkSession) -> None:
-    """Python workers find this package where the driver found it, whatever folder they were started in, and get texts in
-    batches of some megabytes."""
-    root, own = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    paths = own.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        own["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    """Python workers get this package from the driver, once a context, and texts in batches of some megabytes."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if not hasattr(context, "_fold_shipped") and package.is_dir():
+        context._fold_shipped = Path(tempfile.mkdtemp(prefix="fold-code-")) / f"{package.name}.zip"  # served by the driver
+        with zipfile.ZipFile(context._fold_shipped, "w") as archive:
+            for file in sorted(package.rglob("*.py")):
+                archive.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(context._fold_shipped))
     for name, (usual, own_number) in SMALL_BATCHES.items():
         if spark.conf.get(name) == usual:
             spark.conf.set(name, own_number)

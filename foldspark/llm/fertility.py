@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, let_workers_import, written
 from .tokens import vocabulary_path
 
 
@@ -240,6 +240,7 @@ def measure(batches: Iterator[pd.DataFrame], pieces_path: str, words_path: str)
 
 def fertility_rules(docs: DataFrame, pieces: str, words: str, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", bands: dict[str, Band] = BANDS) -> DataFrame:
     """One row a document: the counts, the base verdict, the verdict, and the measures.  pieces, words: the vocabularies' files."""
+    let_workers_import(docs.sparkSession)
     language = docs[lang].cast("string") if lang in docs.columns else F.lit(None).cast("string")
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), language.alias("lang"), F.xxhash64(docs[text]).alias("same"))
     measured = rows.mapInPandas(lambda batches: measure(batches, pieces, words), f"{COUNTS}, {MEASURES}, lang string, same long")

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_row, documents, identity, written
+from .common import as_row, documents, identity, let_workers_import, written
 from .components import components
 from .shingles import mixed, shingle_set
 
@@ -278,6 +278,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _join(docs: DataFrame, text: str, doc_id: str, threshold: float, recall: float, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketches of all rows, records (key, rep, a, b, copies), and what the blocks return."""
+    let_workers_import(docs.sparkSession)
     runs, least = runs_for(recall, threshold), least_agreement(recall, threshold)
     own_id = docs[doc_id].cast("long")
     rows = docs.select(own_id.alias("doc_id"), *identity(own_id, docs[text]), docs[text].alias("text"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_row, documents, words_in, written
+from .common import as_row, documents, let_workers_import, words_in, written
 
 CAP = 3.0
 SEED = 17
@@ -71,6 +71,7 @@ def _unit(text) -> F.Column:
 
 def _planned(docs: DataFrame, text: str, source: str, doc_id: str, cap: float, seed: int) -> DataFrame:
     """row (the columns of docs) with size, plan.(source_size, target), and times."""
+    let_workers_import(docs.sparkSession)
     rows = as_row(docs)
     own_source, own_text, own_id = (F.col("row")[c] for c in (source, text, doc_id))
     digits = 2 + max(0, math.ceil(math.log(max(1, docs.count()) / (256 * PER_CELL), 16)))

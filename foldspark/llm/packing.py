@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, let_workers_import, written
 from .tokens import encoder, vocabulary_path
 
 CAPACITY = 2048
@@ -282,6 +282,7 @@ def _pieces(batches: Iterator[pd.DataFrame], vocabulary: str, capacity: int, end
 
 def pieces(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of all documents, without their ids; salt tells them apart, and differs between runs over other partitions."""
+    let_workers_import(docs.sparkSession)
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     return rows.mapInPandas(lambda batches: _pieces(batches, vocabulary, capacity, end_id), PIECES)
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_row, documents, identity, written
+from .common import as_row, documents, identity, let_workers_import, written
 from .shingles import _powers_to, mixed, span_hashes, word_bounds
 
 SPAN = 2
@@ -123,6 +123,7 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """a, b (hashes of doc_id and text), places: the runs that are not the first of their hash."""
+    let_workers_import(docs.sparkSession)
     own_id = docs[doc_id].cast("long")
     rows = docs.select(F.coalesce(own_id, F.lit((1 << 63) - 1)).alias("rank"), *identity(own_id, docs[text]), docs[text].alias("text"))
     table = written(rows.mapInPandas(_runs, "rank long, a long, b long, h array<long>, g array<long>, places array<long>"), "runs")
