@@ -1,8 +1,8 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Training learns from a bounded sample of labelled texts (``PER_LANGUAGE`` expected of each language, at most
-``LANGUAGES`` languages, the largest; rows are chosen by a hash of their id): their n-gram counts, hashed to ``SLOTS``
-places, are made on the executors and brought to the driver.  Weights are learned by follow-the-regularised-leader
+Training learns from a bounded sample of labelled texts (``PER_LANGUAGE`` expected of each language; rows are chosen by a
+hash of their id): their n-gram counts, hashed to ``SLOTS`` places, are made on the executors and brought to the driver.
+Every language of the labels is learned; more than ``LANGUAGES`` of them are an error, as the model would not fit.  Weights are learned by follow-the-regularised-leader
 with elastic-net penalties, which leaves most of them zero; a held-back fifth of the sample gives the temperature that
 calibrates the probabilities.  Each sampled text also serves with one seeded short window, so that short texts are met.
 
@@ -23,12 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, let_workers_import
 
 SLOTS = 1 << 16
 ORDERS = 3
 PER_LANGUAGE = 400
-LANGUAGES = 200
+LANGUAGES = 2_000
 EPOCHS = 3
 #: Learning rate, its offset, and the weights of the L1 and L2 penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-3, 1e-3
@@ -180,16 +180,17 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     """A model of labelled rows; rows without a language or an id teach nothing."""
     rows = rows.select(rows[doc_id].cast("string").alias("doc_id"), rows[text].alias("text"), rows[lang].cast("string").alias("lang"))
     rows = rows.filter("lang IS NOT NULL AND doc_id IS NOT NULL")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    let_workers_import(rows.sparkSession)
+    sizes = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: fit a model on fewer, or raise LANGUAGES")
     if not sizes:
         return Model([], np.ones(SLOTS), np.zeros((SLOTS, 0)), np.zeros(0))
     span = 1 << 40
-    quota: Column | None = None
-    for r in sizes:
-        own = F.lit(min(span, span * per_language // r["count"]))
-        quota = F.when(F.col("lang") == r["lang"], own) if quota is None else quota.when(F.col("lang") == r["lang"], own)
+    quotas = rows.sparkSession.createDataFrame([(r["lang"], min(span, span * per_language // r["count"])) for r in sizes], "lang string, quota long")
     chosen = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(span))
-    sample = rows.withColumn("chosen", chosen).filter(F.col("chosen") < quota).select("lang", "text", "chosen")
+    # As many rows as languages, which are counted above.
+    sample = rows.withColumn("chosen", chosen).join(F.broadcast(quotas), "lang").filter("chosen < quota").select("lang", "text", "chosen")
     found = sample.mapInPandas(_examples, "lang string, key string, slots binary, counts binary, held_back boolean").toPandas()
     found = found.sort_values(["lang", "key"], kind="stable")
     return train([(r.lang, np.frombuffer(r.slots, "<i4").astype(np.int64), np.frombuffer(r.counts, "<i4").astype(np.int64), r.held_back) for r in found.itertuples(index=False)])
@@ -197,6 +198,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
 def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, lang_pred, score."""
+    let_workers_import(docs.sparkSession)
     model = Model(model.languages, model.idf, model.weights.astype(np.float32), model.bias, model.temperature)
 
     def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

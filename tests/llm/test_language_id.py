@@ -24,6 +24,89 @@ def test_ngram_counts_equal_brute_force(monkeypatch):
     assert (again[0] == slots).all() and (again[1] == counts).all()
 
 
+def brute_slot(ngram):
+    """The slot of an n-gram, in Python's own integers."""
+    mask, code = (1 << 64) - 1, 0
+    for order, c in enumerate(ngram, 1):
+        code = (code * 0x9E3779B97F4A7C15 + ord(c) + order) & mask
+    code = ((code ^ code >> 29) * 0xBF58476D1CE4E5B9) & mask
+    return code >> 48
+
+
+def test_every_ngram_is_counted_in_its_slot():
+    from collections import Counter
+
+    text = "Über 3 Straßen, naïveİ! über"
+    letters = "".join(chr(c) for c in L.letters_of(text))
+    wanted = Counter(brute_slot(letters[i : i + k]) for k in (1, 2, 3) for i in range(len(letters) - k + 1))
+    slots, counts = L.ngram_counts(L.letters_of(text))
+    assert dict(zip(slots.tolist(), counts.tolist(), strict=True)) == wanted
+
+
+def brute_training(examples, epochs, seed):
+    """Follow-the-regularised-leader on dense vectors, one coordinate at a time."""
+    import math
+
+    langs = sorted({x[0] for x in examples})
+    seen = {}
+    for _, slots, _, _ in examples:
+        for s in slots.tolist():
+            seen[s] = seen.get(s, 0) + 1
+    idf = {s: math.log((len(examples) + 1) / (n + 1)) + 1 for s, n in seen.items()}
+    z, n = {}, {}
+
+    def weight(k):
+        v = z.get(k, 0.0)
+        return 0.0 if abs(v) <= L.L1 else -(v - math.copysign(L.L1, v)) / ((L.BETA + math.sqrt(n.get(k, 0.0))) / L.ALPHA + L.L2)
+
+    rounds = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for i in rounds.permutation(len(examples)):
+            lang, slots, counts, _ = examples[i]
+            x = {s: (1 + math.log(c)) * idf[s] for s, c in zip(slots.tolist(), counts.tolist(), strict=True)}
+            norm = math.sqrt(sum(v * v for v in x.values()))
+            x = {s: v / norm for s, v in x.items()} | {"bias": 1.0}
+            w = {(s, j): weight((s, j)) for s in x for j in range(len(langs))}
+            scores = [sum(w[s, j] * v for s, v in x.items()) for j in range(len(langs))]
+            top = max(scores)
+            total = sum(math.exp(s - top) for s in scores)
+            for j in range(len(langs)):
+                error = math.exp(scores[j] - top) / total - (langs[j] == lang)
+                for s, v in x.items():
+                    g = v * error
+                    old = n.get((s, j), 0.0)
+                    n[s, j] = old + g * g
+                    z[s, j] = z.get((s, j), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / L.ALPHA * w[s, j]
+    return langs, idf, weight
+
+
+def test_training_and_prediction_equal_brute_force():
+    texts = [(lang, text) for _, text, lang in samples(n=6)]
+    examples = [(lang, *L.ngram_counts(L.letters_of(t)), False) for lang, t in texts]
+    model = L.train(examples, epochs=2)
+    langs, idf, weight = brute_training(examples, 2, 5)
+    assert model.languages == langs
+    for s in idf:
+        assert model.idf[s] == pytest.approx(idf[s])
+        assert model.weights[s] == pytest.approx([weight((s, j)) for j in range(len(langs))], abs=1e-9)
+    assert model.bias == pytest.approx([weight(("bias", j)) for j in range(len(langs))], abs=1e-9)
+    text = "the of und nicht los que"
+    slots, counts = L.ngram_counts(L.letters_of(text))
+    x = {s: (1 + np.log(c)) * model.idf[s] for s, c in zip(slots.tolist(), counts.tolist(), strict=True)}
+    norm = sum(v * v for v in x.values()) ** 0.5
+    scores = [(sum(v / norm * weight((s, j)) for s, v in x.items() if s in idf) + weight(("bias", j))) / model.temperature for j in range(len(langs))]
+    best = int(np.argmax(scores))
+    assert model.predict(text)[0] == langs[best] and model.predict(text)[1] == pytest.approx(1 / sum(np.exp(np.array(scores) - scores[best])))
+
+
+def test_every_language_is_learned(make, monkeypatch):
+    docs = make([(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} text", f"l{i}") for i in range(230)])
+    assert len(L.fit(docs).languages) == 230
+    monkeypatch.setattr(L, "LANGUAGES", 100)
+    with pytest.raises(ValueError, match="languages"):
+        L.fit(docs)
+
+
 def test_held_out_accuracy_and_calibration(make):
     docs = make(samples())
     model = L.fit(docs.filter(~L.held_out(docs["doc_id"])))
