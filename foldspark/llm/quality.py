@@ -14,7 +14,8 @@ Scoring reads each whole text once; nothing is shuffled.
 
 Defined results: null and empty text have no term but their length and are scored by it; without any rating nothing is
 rejected; an id that is rated more than once gives its ratings one by one; ties do not arise; repeated rows give
-repeated results; an empty table gives an empty result; columns of any other name are kept by ``select_good``.
+repeated results; an empty table gives an empty result; columns of any other name are kept by ``select_good`` and ``judged``,
+whose own column has a name that the caller may choose.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import as_row, documents, let_workers_import
 
 SLOTS = 1 << 20
 GRADES = 3
@@ -137,6 +138,7 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rated: int = RATED) -> Model | None:
     """A model of rated texts; None without any."""
+    let_workers_import(docs.sparkSession)
     span = 1 << 40
     ratings = labels.select(labels[doc_id].cast("long").alias("rated_id"), grade(labels["quality"], labels["toxic"]).alias("grade")).filter("grade IS NOT NULL AND rated_id IS NOT NULL")
     total = ratings.count()
@@ -152,8 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     return train([(int(r.grade), np.frombuffer(r.slots, "<i4").astype(np.int64)) for r in found.itertuples(index=False)])
 
 
-def judged(docs: DataFrame, model: Model | None, keep: float = KEEP, text: str = "text") -> DataFrame:
-    """docs with _quality.(expected_grade, tail, kept); tail is P(grade is the highest)."""
+def judged_rows(docs: DataFrame, model: Model | None, keep: float = KEEP, text: str = "text") -> DataFrame:
+    """row (a struct of the columns of docs), and quality.(expected_grade, tail, kept); tail is P(grade is the highest)."""
+    let_workers_import(docs.sparkSession)
     schema = "expected_grade double, tail double, kept boolean"
 
     @F.pandas_udf(schema)
@@ -162,12 +165,19 @@ def judged(docs: DataFrame, model: Model | None, keep: float = KEEP, text: str =
             tails = [model.tails(t) if model else [1.0] * (GRADES - 1) for t in series]
             yield pd.DataFrame({"expected_grade": [sum(x) for x in tails], "tail": [x[-1] for x in tails], "kept": [x[-1] >= keep for x in tails]})
 
-    return docs.withColumn("_quality", verdict(docs[text]))
+    return as_row(docs).withColumn("quality", verdict(F.col("row")[text]))
+
+
+def judged(docs: DataFrame, model: Model | None, keep: float = KEEP, text: str = "text", into: str = "_quality") -> DataFrame:
+    """docs with a column ``into`` of (expected_grade, tail, kept)."""
+    if into in docs.columns:
+        raise ValueError(f"docs has a column {into!r} of its own: say another name as into=")
+    return judged_rows(docs, model, keep, text).select("row.*", F.col("quality").alias(into))
 
 
 def select_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: float = KEEP) -> DataFrame:
     """The documents that the classifier keeps."""
-    return judged(docs, fit(docs, labels, text, doc_id), keep, text).filter("_quality.kept").select(*[docs[c] for c in docs.columns])
+    return judged_rows(docs, fit(docs, labels, text, doc_id), keep, text).filter("quality.kept").select("row.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

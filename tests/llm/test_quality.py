@@ -45,6 +45,57 @@ def test_gradient_finds_the_optimum_of_a_small_problem():
     assert model.weights.get(1, 0) > model.weights.get(2, 0)
 
 
+def losses(cases, weights, thresholds):
+    """Mean negative log-likelihood of the cumulative-link model, in plain numpy."""
+    out = 0.0
+    for g, slots in cases:
+        score = sum(weights[s] for s in slots.tolist())
+        tail = [1.0, *(1 / (1 + np.exp(t - score)) for t in thresholds), 0.0]
+        out -= np.log(max(tail[g] - tail[g + 1], 1e-300))
+    return out / len(cases)
+
+
+def test_training_comes_to_the_full_batch_optimum(monkeypatch):
+    """Without penalties, against the optimum that plain descent on the whole loss finds by numeric slopes."""
+    monkeypatch.setattr(Q, "L1", 0.0)
+    monkeypatch.setattr(Q, "L2", 0.0)
+    rng = np.random.default_rng(2)
+    truth, cuts = np.array([1.5, -1.0, 0.5, 0.0]), (-0.7, 0.8)
+    cases = []
+    for _ in range(400):
+        slots = np.flatnonzero(rng.random(4) < 0.5)
+        score = truth[slots].sum() + rng.logistic()
+        cases.append((sum(score > c for c in cuts), slots.astype(np.int64)))
+    model = Q.train(cases, epochs=30)
+    own = losses(cases, np.array([model.weights.get(s, 0.0) for s in range(4)]), model.thresholds)
+
+    def whole(p):
+        return losses(cases, p[:4], (p[4], p[4] + np.exp(p[5])))
+
+    p, rate = np.array([0.0, 0, 0, 0, -0.5, 0.0]), 2.0
+    for _ in range(150):
+        slope = np.array([(whole(p + d) - whole(p - d)) / 2e-5 for d in 1e-5 * np.eye(6)])
+        while whole(p - rate * slope) > whole(p) and rate > 1e-6:
+            rate /= 2
+        p = p - rate * slope
+        rate *= 1.5
+    assert whole(p) <= own <= whole(p) + 0.02
+    assert np.argsort([model.weights.get(s, 0.0) for s in range(4)]).tolist()[-1] == 0
+    for text in ("a b", "", None):
+        score = sum(model.weights.get(s, 0.0) for s in Q.slots_of(text).tolist())
+        assert model.tails(text) == pytest.approx([1 / (1 + np.exp(t - score)) for t in model.thresholds])
+
+
+def test_clashing_names(spark, rated):
+    rows, ratings = rated
+    docs = spark.createDataFrame([(i, t, "q", 1) for i, t in rows], "doc_id long, text string, _quality string, quality int")
+    kept = Q.select_good(docs, spark.createDataFrame(ratings, RATINGS))
+    assert kept.columns == docs.columns and 0 < kept.count() < len(rows)
+    with pytest.raises(ValueError, match="into"):
+        Q.judged(docs, None)
+    assert Q.judged(docs, None, into="verdict").filter("verdict.kept").count() == len(rows)
+
+
 def test_bounded_sample(spark, make, rated, monkeypatch):
     rows, ratings = rated
     seen = []
