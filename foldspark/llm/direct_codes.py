@@ -5,18 +5,21 @@ chunk of those ids that need one, and so on.  A bitmap for each level marks the
 before a place, read off a directory with one count every ``RANK_BITS`` bits, is the id's place in the next level.
 So any id is read in as many steps as it has levels, and nothing else is decoded.
 
-Files are Parquet tables of segments, written by Spark's committed writer: a segment holds whole documents, of
+Files are uncompressed Parquet tables of segments, written by Spark's committed writer: a segment holds whole documents, of
 ``SEGMENT_TOKENS`` ids or a little more, as one binary code with the documents' ids and starts.  Segments are written in
 ascending order of doc_id (range partitions, sorted inside), and each knows its place in its shard; the shards' sizes,
-one number a shard, are summed on the driver when a table is opened.
+one number a shard, are summed on the driver when a table is opened.  ``tokens_at`` reads the ids at any number of places in
+one job: the places of a segment are looked up where the segment is read, and only ids come to the driver.  What a file
+can be entered at is a segment; inside it, an id is read from its own bytes.
 
-Defined results: null text is empty, and an empty text still has its end id; null doc_ids come first; repeated doc_ids
-stand next to each other in no certain order; a very long text makes one larger segment; an empty table gives a table
-without segments; other columns are ignored.
+Defined results: null text is empty, and an empty text still has its end id; null doc_ids come first; documents of one
+doc_id (or none) are ordered by hashes of their texts, so reruns agree; a very long text makes one larger segment; an
+empty table gives a table without segments; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -25,10 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_path
+from .common import documents, fresh_path, identity, let_workers_import
 from .tokens import encoder, vocabulary_path
 
+#: Bits of a chunk.  Chunks are bytes, so that any of them can be read by itself.
 BITS = 8
+#: Bytes of the input's files that a shard has, about, where that makes more shards than the session's shuffles have.
+SHARD_BYTES = 128 << 20
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 17
 END_ID = 0
@@ -139,12 +145,18 @@ def _segments(batches: Iterator[pd.DataFrame], path: str, end_id: int) -> Iterat
 def write_codes(docs: DataFrame, path: str, vocabulary: str, text: str = "text", doc_id: str = "doc_id", shards: int | None = None, end_id: int = END_ID) -> None:
     """Writes the ids of all documents, each followed by the end id, in ascending order of doc_id."""
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    let_workers_import(spark)
+    if not shards:
+        by_size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // SHARD_BYTES
+        # A size that the optimizer does not know is a very large one.
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), by_size if by_size < 1 << 20 else 0)
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), *identity(docs[text]), docs[text].alias("text"))
     # The shuffle carries texts: ranges are found from a sample of the scan, before anything is encoded.
-    ordered = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # Documents without an id differ by the hashes of their texts, so they do not share one range.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("a"), F.col("b")]
+    ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     ordered = ordered.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text")
-    ordered.mapInPandas(lambda batches: _segments(batches, vocabulary, end_id), SEGMENTS).write.parquet(path)
+    ordered.mapInPandas(lambda batches: _segments(batches, vocabulary, end_id), SEGMENTS).write.parquet(path, compression="none")
 
 
 def _starts_of_shards(segments: DataFrame) -> DataFrame:
@@ -175,6 +187,7 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a written table: doc_id, start, n_tokens, ids_crc32, all from the codes read back."""
+    let_workers_import(spark)
     segments = spark.read.schema(SEGMENTS).parquet(path)
     documents_read = segments.mapInPandas(_digests, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
     bases = _starts_of_shards(segments)
@@ -182,17 +195,32 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tokens_at(spark: SparkSession, path: str, places: list[int]) -> list[int]:
-    """The ids at places of the whole sequence.  Only the segments that hold one of them are read."""
+    """The ids at places of the whole sequence, in one job after the shards' sizes.  Broadcast are the places asked for."""
+    let_workers_import(spark)
     segments = spark.read.schema(SEGMENTS).parquet(path)
-    bases = {r["shard"]: r["base"] for r in _starts_of_shards(segments).collect()}
-    found = {}
+    bases = sorted((r["base"], r["shard"]) for r in _starts_of_shards(segments).collect())
+    starts = [b for b, _ in bases]
+    asked = {}
     for place in set(places):
-        shard = max((s for s, b in bases.items() if b <= place), key=lambda s: bases[s], default=-1)
-        inside = place - bases.get(shard, 0)
-        rows = segments.filter((F.col("shard") == shard) & (F.col("shard_start") <= inside) & (F.col("shard_start") + F.col("n_tokens") > inside)).select("shard_start", "codes").collect()
-        if not rows:
+        shard = bisect.bisect_right(starts, place) - 1
+        if place < 0 or shard < 0:
+            raise IndexError(place)
+        asked[place] = (bases[shard][1], place - bases[shard][0], place)
+    if not asked:
+        return []
+    wanted = spark.createDataFrame(list(asked.values()), "shard int, inside long, place long")
+    held = (F.col("shard_start") <= F.col("inside")) & (F.col("inside") < F.col("shard_start") + F.col("n_tokens"))
+    shards = F.col("shard").isin(sorted({s for s, _, _ in asked.values()}))
+    met = segments.filter(shards).select("shard", "shard_start", "n_tokens", "codes").join(F.broadcast(wanted), "shard").filter(held)
+
+    @F.pandas_udf("long")
+    def read(codes: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([DirectCodes(bytes(c))[int(i)] for c, i in zip(codes, at, strict=True)], dtype="int64")
+
+    found = {r["place"]: r["id"] for r in met.select("place", read("codes", F.col("inside") - F.col("shard_start")).alias("id")).collect()}
+    for place in places:
+        if place not in found:
             raise IndexError(place)
-        found[place] = DirectCodes(bytes(rows[0]["codes"]))[inside - rows[0]["shard_start"]]
     return [found[p] for p in places]
 
 

@@ -78,8 +78,22 @@ def test_table(spark, make, edge_rows, monkeypatch):
         everything += own.pop(match)[2].tolist()
     places = [0, 1, 5, 200, len(everything) // 2, len(everything) - 1]
     assert D.tokens_at(spark, path, places) == [everything[p] for p in places]
-    with pytest.raises(IndexError):
-        D.tokens_at(spark, path, [len(everything)])
+    assert D.tokens_at(spark, path, places[::-1] + places) == [everything[p] for p in places[::-1] + places] and D.tokens_at(spark, path, []) == []
+    for bad in (len(everything), -1):
+        with pytest.raises(IndexError):
+            D.tokens_at(spark, path, [0, bad])
+
+
+def test_reruns_agree_on_repeated_and_missing_ids(spark, make):
+    rows = [(None if i % 2 else 5, f"text number {i}") for i in range(300)]
+    runs = []
+    for shards in (3, 5):
+        path = fresh_path(spark, "test-codes")
+        D.write_codes(make(rows).repartition(2 + shards), path, VOCABULARY, shards=shards)
+        runs.append(sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in D.read_digests(spark, path).collect()))
+        held = spark.read.parquet(path).groupBy("shard").count().count()
+        assert held > 1  # neither null ids nor one id's rows are all in one range
+    assert runs[0] == runs[1]
 
 
 def test_empty_table(spark, make, edge_rows):
