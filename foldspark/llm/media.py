@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flac
-from .common import documents
+from .common import documents, let_workers_import
 
 TOGETHER = 800_000
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -80,11 +80,13 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def media_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row a document: the payload and its stored form, described from the stored bytes read back."""
+    let_workers_import(docs.sparkSession)
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInPandas(_digests, DIGESTS)
 
 
 def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """docs with a FLAC column of the texts' payloads."""
+    """docs with a FLAC column of the texts' payloads, in place of one of that name."""
+    let_workers_import(docs.sparkSession)
 
     @F.pandas_udf("binary")
     def stored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -123,6 +125,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def pcm_table(rows: DataFrame, media: str = "media", doc_id: str = "doc_id") -> DataFrame:
     """The PCM blocks of a FLAC column: doc_id, block, first_sample, n_samples, pcm; checksums verified.  Null media: no block."""
+    let_workers_import(rows.sparkSession)
     return rows.select(rows[doc_id].cast("long").alias("doc_id"), rows[media].alias("media")).mapInPandas(_blocks, BLOCKS)
 
 

@@ -38,6 +38,21 @@ def test_many_frames_and_seeking():
         assert n > 0x10FFFF or 0xD800 <= n < 0xE000 or raw == chr(n).encode()
 
 
+def test_a_header_inside_a_frame_is_no_frame_end():
+    """A verbatim frame that holds the bytes of the next frame's header."""
+    rng = np.random.default_rng(3)
+    first = bytearray(rng.integers(0, 256, 576, dtype=np.uint8).tobytes())
+    false_head = flac.frame_head(1)
+    first[300 : 300 + len(false_head)] = bytes(x ^ 0x80 for x in false_head)  # samples are stored with the top bit turned
+    payload = bytes(first) + rng.integers(0, 256, 576 * 3, dtype=np.uint8).tobytes()
+    stream, good = flac.encode([payload])[0], flac.encode([b"\x11" * 1152])[0]
+    assert stream.count(false_head) == 2
+    assert [(x + 128).astype(np.uint8).tobytes() for x in flac.decode([stream, good])] == [payload, b"\x11" * 1152]
+    assert (flac.decode_from(stream, 100, 700) + 128).astype(np.uint8).tobytes() == payload[100:800]
+    assert [(a, n) for a, n, _ in flac.pcm_blocks(stream)] == [(576 * i, 576) for i in range(4)]
+    assert (np.frombuffer(b"".join(p for _, _, p in flac.pcm_blocks(stream)), np.int8).astype(int) + 128).astype(np.uint8).tobytes() == payload
+
+
 @pytest.mark.parametrize("where", ["header", "body", "footer", "md5"])
 def test_damage_is_found(where):
     stream = bytearray(flac.encode([payloads()[0]])[0])
