@@ -64,7 +64,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", pack),
 ]
 
-#: SQL cannot express the stages; they are tested one by one against brute-force versions.
+#: SQL cannot express the stages; each is tested on its own input against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -19,6 +19,7 @@ from .operators import frame, trusted
 from .plans import config
 
 NAN, INF = float("nan"), float("inf")
+SHIFT = 3.3e-7
 Query = Callable[[SparkSession, str], DataFrame]
 
 _NAN, _INF = "CAST('NaN' AS DOUBLE)", "CAST('Infinity' AS DOUBLE)"
@@ -50,13 +51,14 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def safe(value: Column) -> Column:
-    """A result as a number that compares: rounded, with marks for NaN and infinity."""
+    """A result as a number that compares: rounded (shifted a little, as fractions of whole numbers lie midway between two
+    rounded ones), with marks for NaN and infinity."""
     value = value.cast("double")
-    return F.when(F.isnan(value), F.lit(-999.0)).when(value == INF, F.lit(999999.0)).when(value == -INF, F.lit(-999999.0)).otherwise(F.round(value, 5) + F.lit(0.0))
+    return F.when(F.isnan(value), F.lit(-999.0)).when(value == INF, F.lit(999999.0)).when(value == -INF, F.lit(-999999.0)).otherwise(F.round(value + SHIFT, 5) + F.lit(0.0))
 
 
 def _safe_sql(value: str) -> str:
-    return f"CASE WHEN isnan({value}) THEN -999.0 WHEN {value} = {_INF} THEN 999999.0 WHEN {value} = -{_INF} THEN -999999.0 ELSE round({value}, 5) + 0.0 END"
+    return f"CASE WHEN isnan({value}) THEN -999.0 WHEN {value} = {_INF} THEN 999999.0 WHEN {value} = -{_INF} THEN -999999.0 ELSE round(({value}) + {SHIFT}, 5) + 0.0 END"
 
 
 def _kept(column: str, policy: Policy) -> str:

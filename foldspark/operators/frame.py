@@ -75,6 +75,7 @@ def reduce(
     strict: bool = False,
     one_pass: bool = False,
     bracketed: bool | None = None,
+    approx: int | None = None,
     validate: bool = True,
     alias: str = "value",
 ) -> DataFrame:
@@ -83,6 +84,7 @@ def reduce(
     weights: a column of the same shape; along axis 0 also one weight a row; along axis -1 also a list of numbers.
     one_pass: variance from running moments alone (also used for streams, which cannot be read twice).
     bracketed: whether exact ranks go by brackets; None decides by the size of the input.
+    approx: medians, percentiles and quantiles from sketches alone, in one scan: elements whose rank is off by one in so many.
     validate=False skips the type checks.
     """
     _checked(op, axis)
@@ -136,6 +138,8 @@ def reduce(
     grain = grain_of(op, axis, policy.skips, weights is not None)
     if op in ("var", "std") and not one_pass and not df.isStreaming:
         return bounded(_moments(rows, by, op, policy, kinds, ddof, return_mean, element, axis, alias), df, grain)
+    if approx is not None:
+        return bounded(_sketched(rows, by, op, policy, kinds, fractions, scalar, approx, element, axis, alias), df, grain)
     if op in ("median", "lmedian", "percentile", "quantile") and not strict and not df.isStreaming:
         if bracketed is None:
             bracketed = estimated_elements(df) * ELEMENT_BYTES > LARGE_BYTES
@@ -213,6 +217,19 @@ def _moments(rows: DataFrame, by: list[str], op: str, policy: Policy, kind: str,
     return both.select(*by, (F.struct(whole.alias(op), centre.alias("mean")) if return_mean else whole).alias(alias))
 
 
+def _sketched(rows: DataFrame, by: list[str], op: str, policy: Policy, kind: str, fractions: list[float], scalar: bool, accuracy: int, element: T.DataType, axis: int | None, alias: str) -> DataFrame:
+    """Ranks off by one in ``accuracy`` of the elements at most."""
+    if op not in ("median", "percentile", "quantile"):
+        raise ValueError("approx belongs to median, percentile and quantile")
+    fractions, scalar = ([0.5], True) if op == "median" else (fractions, scalar)
+    sketch = F.percentile_approx(as_double(kept(F.col(_X), kind, policy), kind), F.array(*map(F.lit, fractions)), accuracy)
+    missing = F.array(*[F.lit(NAN)] * len(fractions))
+    nan = F.bool_or(F.isnan(_X)) if kind == "float" and policy is Policy.ALL else F.lit(False)
+    value = F.when(F.coalesce(nan, F.lit(False)), missing).otherwise(F.coalesce(sketch, missing))
+    value = _narrowed(op, value[0] if scalar else value, element, axis)
+    return rows.groupBy(*by).agg(value.alias(alias))
+
+
 def _bracketed(rows: DataFrame, by: list[str], op: str, policy: Policy, kind: str, fractions: list[float], scalar: bool, element: T.DataType, axis: int | None, alias: str) -> DataFrame:
     """Exact ranks of groups of any size: brackets from sketches, then the ordered values inside the brackets alone."""
     exact = op == "lmedian"  # keeps the type, and has one rank
