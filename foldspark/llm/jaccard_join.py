@@ -13,7 +13,9 @@ for at the threshold (``runs_for``); an error is raised if the sketch has not th
 
 Every pair is compared in one leaf only: the least one that both records have reached.  Leaves of more than ``SMALL``
 records are compared in blocks of ``BLOCK``, so a leaf that cannot be split (thousands of near copies) is many tasks; the
-comparisons in it grow with its square, as every link counts.  Sketches rule out pairs far below the threshold; their
+comparisons in it grow with its square, as every link counts.  Where only the groups are asked for (``one_of_each``), the
+records of such a leaf are first held against one of them: those linked to it are one group and not compared with each
+other, and only the rest is compared with all.  Sketches rule out pairs far below the threshold; their
 chance of ruling out a pair at the threshold is part of the target recall (``least_agreement``).  What is left is held
 against the shingle sets, exactly.  Blocks return the number of links of each record and a star for each group of linked
 records, not pairs; the stars' components are the groups of near duplicates.  ``linked_pairs`` returns the pairs themselves.
@@ -137,13 +139,26 @@ def _leaves(records: DataFrame) -> DataFrame:
     return found.select("key", F.col("node").alias("leaf"), "size")
 
 
-def _blocks(leaves: DataFrame) -> DataFrame:
+def _blocks_of(size: Column) -> Column:
+    return F.when(size <= SMALL, 1).otherwise(F.ceil(size / min(BLOCK, 2 * SMALL))).cast("int")
+
+
+def _blocks(leaves: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """(key, leaf, left, right, side, bin): blocks of a leaf meet in pairs; side is 0, 1, or 2 for a block that meets
-    itself.  Small leaves share a bin, each pair of blocks of a large one has its own."""
+    itself.  Small leaves share a bin, each pair of blocks of a large one has its own.  linked: (key, leaf) of records that
+    are not compared with each other; their blocks come after those of the rest, and meet these alone."""
     bins = max(1, leaves.count() // TOGETHER)
-    rows = leaves.withColumn("blocks", F.when(F.col("size") <= SMALL, 1).otherwise(F.ceil(F.col("size") / min(BLOCK, 2 * SMALL))).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = _blocks_of(F.col("size"))
+    rows = leaves.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("met", F.col("blocks"))
+    if linked is not None:
+        large = rows.filter(F.col("size") > SMALL).select("key", "leaf").join(linked.withColumn("linked", F.lit(1)), ["key", "leaf"], "left")
+        counts = large.groupBy("leaf").agg(F.count("linked").alias("known"), F.count(F.lit(1)).alias("size"))
+        large = large.join(counts, "leaf").withColumn("rest", F.when(F.col("size") > F.col("known"), _blocks_of(F.col("size") - F.col("known"))).otherwise(0))
+        large = large.filter("rest > 0").withColumn("blocks", F.col("rest") + F.when(F.col("known") > 0, _blocks_of(F.col("known"))).otherwise(0))
+        own = F.when(F.col("linked").isNull(), F.pmod(F.xxhash64("key"), F.col("rest"))).otherwise(F.col("rest") + F.pmod(F.xxhash64("key"), F.greatest(F.col("blocks") - F.col("rest"), F.lit(1))))
+        large = large.withColumns({"own": own.cast("int"), "met": F.when(F.col("linked").isNull(), F.col("blocks")).otherwise(F.col("rest"))})
+        rows = rows.filter(F.col("size") <= SMALL).unionByName(large.select("key", "leaf", "size", "blocks", "own", "met"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("met") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     rows = rows.select("key", "leaf", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), side.alias("side"), "blocks")
     small = F.pmod(F.xxhash64("leaf"), F.lit(bins))
@@ -269,6 +284,41 @@ def _verified(threshold: float, least: int, pairs: bool):
     return found
 
 
+def _held(table: pd.DataFrame, sets: list[np.ndarray] | None, threshold: float, least: int) -> np.ndarray:
+    """Which rows of one block of a leaf are linked to its first record, by their sketches or, if given, their sets."""
+    first = int(np.flatnonzero(table["first"].to_numpy())[0])
+    if sets is None:
+        sketches = np.stack(table["sketch"].to_list())
+        return (sketches == sketches[first]).sum(1) >= least
+    both = _intersections([*sets, sets[first]], np.arange(len(sets)), np.full(len(sets), len(sets)))
+    sizes = np.array([len(s) for s in sets])
+    return both >= threshold * (sizes + sizes[first] - both) - 1e-9
+
+
+def _linked_to_first(leaves: DataFrame, described: DataFrame, sets_of, threshold: float, least: int) -> DataFrame:
+    """key, rep, leaf, root, root_rep: the records of large leaves that are linked to the first one of their leaf, itself too."""
+    large = leaves.filter(F.col("size") > SMALL)
+    firsts = large.groupBy("leaf").agg(F.min("key").alias("root"), F.first("size").alias("size"))
+    blocks = _blocks_of(F.col("size"))
+    members = large.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int")).join(firsts.select("leaf", "root"), "leaf").filter("key <> root")
+    roots = firsts.select("leaf", F.col("root").alias("key"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("own"))
+    rows = members.select("leaf", "key", "own", F.lit(False).alias("first")).unionByName(roots.withColumn("first", F.lit(True)))
+
+    def likely(table: pd.DataFrame) -> pd.DataFrame:
+        return table[_held(table, None, threshold, least)][["leaf", "own", "key", "rep", "a", "b", "first"]]
+
+    def verified(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.drop_duplicates("key", ignore_index=True)
+        first = table[table["first"]].iloc[0]
+        out = table[_held(table, [np.frombuffer(s, "<u8") for s in table["shingles"]], threshold, least)][["key", "rep", "leaf"]]
+        out = out.assign(root=first["key"], root_rep=first["rep"])
+        return out.assign(rep=out["rep"].astype("Int64"), root_rep=out["root_rep"].astype("Int64"))
+
+    near = written(rows.join(described, "key").groupBy("leaf", "own").applyInPandas(likely, "leaf long, own int, key binary, rep long, a long, b long, first boolean"), "near-first")
+    found = near.drop("a", "b").join(sets_of(near), "key").groupBy("leaf", "own").applyInPandas(verified, "key binary, rep long, leaf long, root binary, root_rep long")
+    return written(found.dropDuplicates(["key", "leaf"]), "linked-to-first")
+
+
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sets = [shingle_set(t) for t in batch["text"]]
@@ -276,7 +326,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[[signature_of(s) == bytes(k) for s, k in zip(sets, batch["key"], strict=True)]]
 
 
-def _join(docs: DataFrame, text: str, doc_id: str, threshold: float, recall: float, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _join(docs: DataFrame, text: str, doc_id: str, threshold: float, recall: float, pairs: bool, counts: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketches of all rows, records (key, rep, a, b, copies), and what the blocks return."""
     let_workers_import(docs.sparkSession)
     runs, least = runs_for(recall, threshold), least_agreement(recall, threshold)
@@ -289,21 +339,31 @@ def _join(docs: DataFrame, text: str, doc_id: str, threshold: float, recall: flo
     leaves = written(_leaves(records), "leaves")
     reached = leaves.groupBy("key").agg(F.collect_set("leaf").alias("reached"))  # runs * 2 ** DEPTH at most
     described = reached.join(records.select("key", "rep", "a", "b", "sketch"), "key")
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        texts = rows.join(keys.select("key", "a", "b").distinct(), ["a", "b"]).select("key", "text")
+        # Repeated rows give one set a key.
+        return texts.mapInPandas(_sets, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
+
+    linked = None
+    if not counts and not leaves.filter(F.col("size") > SMALL).isEmpty():
+        linked = _linked_to_first(leaves, described.drop("reached"), sets_of, threshold, least)
     likely = (
-        _blocks(leaves).join(described, "key").groupBy("bin")
+        _blocks(leaves, None if linked is None else linked.select("key", "leaf")).join(described, "key").groupBy("bin")
         .applyInPandas(_candidates(least), "key binary, rep long, a long, b long, leaf long, left int, right int, side int, bin long, reached array<long>")
     )
     likely = written(likely, "likely")
-    texts = rows.join(likely.select("key", "a", "b").distinct(), ["a", "b"]).select("key", "text")
-    # Repeated rows give one set a key.
-    sets = texts.mapInPandas(_sets, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
     schema = "a binary, b binary, jaccard double" if pairs else "key binary, rep long, links long, root binary, root_rep long"
-    return sketched, records, likely.drop("a", "b").join(sets, "key").groupBy("bin").applyInPandas(_verified(threshold, least, pairs), schema)
+    found = likely.drop("a", "b").join(sets_of(likely), "key").groupBy("bin").applyInPandas(_verified(threshold, least, pairs), schema)
+    if linked is not None:
+        found = found.unionByName(linked.select("key", "rep", F.lit(1).cast("long").alias("links"), "root", "root_rep"))
+    return sketched, records, found
 
 
-def _classes(docs: DataFrame, text: str, doc_id: str, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """Sketches of all rows, and records (key, rep, a, b, copies, n_links, lead), where lead is the first node of the class: (no id?, rep, key)."""
-    sketched, records, found = _join(docs, text, doc_id, threshold, recall, pairs=False)
+def _classes(docs: DataFrame, text: str, doc_id: str, threshold: float, recall: float, counts: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and records (key, rep, a, b, copies, n_links, lead), where lead is the first node of the class:
+    (no id?, rep, key).  n_links are those found, all of them only with counts."""
+    sketched, records, found = _join(docs, text, doc_id, threshold, recall, pairs=False, counts=counts)
     found = written(found, "links")
     links = found.groupBy("key").agg(F.sum("links").alias("n_links"))
     # Nodes are ordered by their least doc_id (none comes last), so a component's root names its class.
@@ -343,7 +403,7 @@ def linked_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", th
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """docs with one row of each group of near duplicates, that of least doc_id; rows without a word all stay."""
-    sketched, known = _classes(docs, text, doc_id, threshold, recall)
+    sketched, known = _classes(docs, text, doc_id, threshold, recall, counts=False)
     leaders = known.filter(F.col("lead.key") == F.col("key")).select("a", "b", F.lit(True).alias("leads"))
     wordless = sketched.filter("key IS NULL").select("a", "b", F.lit(False).alias("leads")).distinct()
     rows = as_row(docs)

@@ -85,7 +85,12 @@ def test_equals_brute_force(make, corpus, monkeypatch, small, whole):
     assert pairs.keys() == links.keys() and all(pairs[k] == pytest.approx(links[k]) for k in links)
 
 
-def test_one_of_each(make, corpus):
+@pytest.mark.parametrize("small, whole", [(512, 0.5), (16, 0.5), (4, 2.0), (1, 0.0)])
+def test_one_of_each(make, corpus, monkeypatch, small, whole):
+    """Also with large leaves, whose records are held against one of them first; in the last case leaves hold several groups."""
+    monkeypatch.setattr(J, "SMALL", small)
+    monkeypatch.setattr(J, "WHOLE", whole)
+    monkeypatch.setattr(J, "BLOCK", 8 if small < 16 else 1024)
     reps, _, root = truth(corpus)
     kept = J.one_of_each(make(corpus))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({root(i) for i in reps.values()})
