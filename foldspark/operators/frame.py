@@ -11,7 +11,7 @@ while a plan is built.
   Groups whose mean is more than ``FAR`` standard deviations from zero are done again about their mean.  That part of the
   plan hangs on a broadcast of one row, "there is such a group": without one, adaptive execution drops it, and the input
   is read once.
-* Median, percentile and quantile of inputs beyond ``LARGE_BYTES`` (by the optimizer's statistics), or on request: a
+* Median, percentile and quantile of inputs known to be beyond ``LARGE_BYTES`` (by the optimizer's statistics), or on request: a
   sketch of each group brackets the elements of the wanted ranks, and only these elements are counted and ordered.  The
   input is read twice, and a group's values never come together.  Smaller inputs keep counts of values by group.
 * Lower median of 64-bit and boolean columns: by the bracketed ranks if the input is large, else by counts of values.
@@ -33,6 +33,8 @@ OPS = ("mean", "sum", "min", "max", "minmax", "var", "std", "median", "lmedian",
 #: Standard deviations from zero beyond which running moments of a group are not trusted.
 FAR = 1e3
 LARGE_BYTES = 1 << 36
+#: The optimizer's figure where it does not know a size (local data, say) is beyond this.
+UNKNOWN_BYTES = 1 << 55
 #: The sketches' accuracy, how far (as a share of ranks) their brackets reach, and rows of a group that needs no bracket.
 SKETCH, REACH, FEW = 10_000, 4e-4, 50_000
 _X, _W = "_fold_x", "_fold_w"
@@ -142,7 +144,7 @@ def reduce(
         return bounded(_sketched(rows, by, op, policy, kinds, fractions, scalar, approx, element, axis, alias), df, grain)
     if op in ("median", "lmedian", "percentile", "quantile") and not strict and not df.isStreaming:
         if bracketed is None:
-            bracketed = estimated_elements(df) * ELEMENT_BYTES > LARGE_BYTES
+            bracketed = LARGE_BYTES < estimated_elements(df) * ELEMENT_BYTES < UNKNOWN_BYTES
         if bracketed:
             found = _bracketed(rows, by, op, policy, kinds, [0.5] if op == "median" else fractions, scalar, element, axis, alias)
             return bounded(found, df, grain)
